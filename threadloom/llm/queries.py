@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import lookalike
+from . import lookalike, spans
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,3 +35,18 @@ def p3_texts(spark, folder):
 @query()
 def p3_authors(spark, folder):
     return lookalike.variants_report(table(spark, folder, "posts"))
+
+
+@query()
+def p9_found(spark, folder):
+    return spans.found(table(spark, folder, "documents"))
+
+
+@query()
+def p9_stretches(spark, folder):
+    return spans.stretches(table(spark, folder, "documents"))
+
+
+@query()
+def p9_coverage(spark, folder):
+    return spans.coverage(table(spark, folder, "documents"))
