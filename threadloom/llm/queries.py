@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import lookalike, spans
+from . import leakage, lookalike, mixing, spans
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,6 +37,26 @@ def p3_authors(spark, folder):
     return lookalike.variants_report(table(spark, folder, "posts"))
 
 
+@query()
+def p7_found(spark, folder):
+    return leakage.found(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+@query()
+def p7_items(spark, folder):
+    return leakage.per_item(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+@query()
+def p8_mix(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+@query()
+def p8_shares(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
 @query()
 def p9_found(spark, folder):
     return spans.found(table(spark, folder, "documents"))
