@@ -226,20 +226,45 @@ class Model:
         return float((log_z - gold).sum()), d_em, d_a, d_start, d_end
 
     # ---- decoding ------------------------------------------------------------------------------------------------
-    def viterbi(self, em: np.ndarray) -> np.ndarray:
-        """The best tag path of one whole text's emissions (T, K)."""
-        t_all = len(em)
+    def viterbi(self, ems: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tag path of each whole text, from its emissions (T, K); texts of like length are decoded together."""
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(ems)
+        order = sorted((i for i in range(len(ems)) if len(ems[i])), key=lambda i: len(ems[i]))
+        at = 0
+        while at < len(order):
+            part = order[at : at + max(1, min(256, 400_000 // len(ems[order[min(at + 255, len(order) - 1)]])))]
+            at += len(part)
+            self._viterbi(ems, part, out)
+        return out
+
+    def _viterbi(self, ems: list[np.ndarray], part: list[int], out: list[np.ndarray]) -> None:
+        lengths = np.array([len(ems[i]) for i in part])
+        t_all, n, k = lengths.max(), len(part), len(TAGS)
+        em = np.zeros((t_all, n, k), np.float32)
+        for r, i in enumerate(part):
+            em[: lengths[r], r] = ems[i]
         score = self.start + em[0]
-        back = np.empty((t_all, em.shape[1]), np.int8)
+        back = np.empty((t_all, n, k), np.int8)
+        final = np.where((lengths == 1)[:, None], score, 0)
+        to = self.A.T[None]
         for t in range(1, t_all):
-            a = score[:, None] + self.A
-            back[t] = a.argmax(0)
-            score = a.max(0) + em[t]
-        path = np.empty(t_all, np.int8)
-        path[-1] = (score + self.end).argmax()
-        for t in range(t_all - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        return path
+            a = score[:, None, :] + to
+            best = a.argmax(2)
+            back[t] = best
+            score = np.take_along_axis(a, best[:, :, None], 2)[:, :, 0] + em[t]
+            ended = lengths == t + 1
+            if ended.any():
+                final[ended] = score[ended]
+        tag = (final + self.end).argmax(1)
+        paths = np.zeros((t_all, n), np.int8)
+        rows = np.arange(n)
+        for t in range(t_all - 1, -1, -1):
+            live = lengths > t
+            paths[t] = np.where(live, tag, 0)
+            if t:
+                tag = np.where(live, back[t, rows, tag], tag)
+        for r, i in enumerate(part):
+            out[i] = paths[: lengths[r], r]
 
 
 def _reverse(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
