@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import leakage, lookalike, mixing, spans
+from . import leakage, lookalike, mixing, pii, spans, toxic
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -21,6 +21,42 @@ def query(sql: str | None = None):
     return add
 
 
+def _forum(spark, folder):
+    return table(spark, folder, "posts"), table(spark, folder, "threads")
+
+
+@query()
+def p1_found(spark, folder):
+    return pii.found(*_forum(spark, folder))
+
+
+@query()
+def p1_texts(spark, folder):
+    """The messages of both tables with placeholders in place of personal information."""
+    parts = [pii.redact(df.select("id", "message").distinct(), "message").select(F.lit(name).alias("table_name"), F.col("id").alias("record_id"), "message") for name, df in zip(("posts", "threads"), _forum(spark, folder), strict=True)]
+    return parts[0].unionByName(parts[1])
+
+
+@query()
+def p1_rates(spark, folder):
+    return pii.rates(*_forum(spark, folder))
+
+
+@query()
+def p2_found(spark, folder):
+    return toxic.found(*_forum(spark, folder), table(spark, folder, "content_labels"))
+
+
+@query()
+def p2_scores(spark, folder):
+    return toxic.scores(*_forum(spark, folder), table(spark, folder, "content_labels"))
+
+
+@query()
+def p2_rates(spark, folder):
+    return toxic.rates(*_forum(spark, folder), table(spark, folder, "content_labels"))
+
+
 @query()
 def p3_found(spark, folder):
     return lookalike.found(table(spark, folder, "posts"))

@@ -14,7 +14,7 @@ from .lookalike import Rewriter
 LEET = str.maketrans("013457@$!", "oleastasi")
 MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>|\[/?[a-zA-Z]+\]|&[a-z]+;")
 SPACED = re.compile(r"(?<![\w])(?:\w[ .*_-]){2,}\w(?![\w])")
-TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[@$!013457\w]*[a-z][@$!013457\w]*[a-z$]|[\U0001F300-\U0001FAFF]|[!?]+")
+PIECE = re.compile(r"[^\s\w@$!]|[\w@$!'’*]+")
 RUNS = re.compile(r"(.)\1{2,}")
 MIXED = re.compile(r"(?=.*[a-z])(?=.*[013457@$!])[a-z013457@$!]+$")
 
@@ -28,7 +28,7 @@ def tokens(text: str | None, rewrite: Rewriter) -> list[str]:
     text = MARKUP.sub(" ", text).lower()
     text = SPACED.sub(lambda m: re.sub(r"[ .*_-]", "", m[0]) if re.search("[a-z]", m[0]) else m[0], text)
     out = []
-    for t in re.findall(r"[^\s\w@$!]|[\w@$!'’*]+", text):
+    for t in PIECE.findall(text):
         if t[0] == "@":
             out.append("@handle")
             continue
@@ -47,53 +47,65 @@ def tokens(text: str | None, rewrite: Rewriter) -> list[str]:
     return out
 
 
-def grams(words: list[str]) -> list[tuple[str, ...]]:
-    """All runs of one to three words; a text begins with a mark."""
+def grams(words: list[str]) -> list[str]:
+    """All runs of one to three words, each joined by blanks; a text begins with a mark."""
     w = ["^", *words]
-    return [tuple(w[i - n : i]) for i in range(2, len(w) + 1) for n in (1, 2, 3) if i - n >= 0]
+    return [*words, *(f"{a} {b}" for a, b in zip(w, w[1:])), *(f"{a} {b} {c}" for a, b, c in zip(w, w[1:], w[2:]))]
 
 
 class LogOdds:
-    """Scores of words in context for one kind of text against the whole corpus.
-
-    The prior of each distribution of the kind is the corpus's own, moved by the score of the shorter context: words without
-    evidence score as their shorter context does, and words never seen score a small loss."""
-
-    def __init__(self, own: Counter, corpus: dict[tuple[str, ...], int], own_total: int, corpus_total: int, strength: float = 60.0, context: float = 1.0, drift: float = 0.25) -> None:
-        self.drift = drift
-        self.table: dict[tuple[str, ...], float] = {}
-        n_own, n_all = max(own_total, 1), max(corpus_total, 1)
-        for n in (1, 2, 3):
-            for g, c0 in corpus.items():
-                if len(g) != n:
-                    continue
-                c0 = max(c0, own.get(g, 0), 1)
-                if n == 1:
-                    p0, mass, prior = c0 / n_all, n_own, strength
-                    shift = 0.0
+    """Scores of words in context for each kind of text against the whole corpus, in one table.
+
+    The prior of each distribution of a kind is the corpus's own, moved by the score of the shorter context: a word whose
+    context has no evidence scores as the shorter context does, a word never seen scores a small loss. ``drift`` is
+    subtracted from every word, so that passages without evidence lose."""
+
+    UNSEEN, LOW, HIGH = -1.0, -3.0, 5.0
+
+    def __init__(self, kinds: tuple[str, ...], own: dict[str, Counter], corpus: dict[str, int], own_total: dict[str, int], corpus_total: int, strength: float = 60.0, context: float = 1.0, drift: float = 0.25) -> None:
+        self.kinds, self.drift = kinds, drift
+        self.table: dict[str, tuple[float, ...]] = {}
+        self.default = tuple(self.UNSEEN - drift for _ in kinds)
+        n_all = max(corpus_total, 1)
+        unseen = (self.UNSEEN,) * len(kinds)
+        raw: dict[str, tuple[float, ...]] = {}
+        for g in sorted(corpus, key=lambda g: g.count(" ")):
+            order = g.count(" ")
+            c0 = max(corpus[g], 1, *(own[k].get(g, 0) for k in kinds))
+            if order:
+                before, _, _ = g.rpartition(" ")
+                p0 = min(1.0, c0 / max(corpus.get(before, c0), c0))
+                base = raw.get(g.partition(" ")[2], unseen)
+            values = []
+            for i, k in enumerate(kinds):
+                if order == 0:
+                    mass, prior, shift, p = max(own_total[k], 1), strength, 0.0, c0 / n_all
                 else:
-                    p0 = min(1.0, c0 / max(corpus.get(g[:-1], c0), c0))
-                    mass, prior = own.get(g[:-1], 0), context
-                    shift = self.table.get(g[1:], -1.0)
+                    mass, prior, shift, p = own[k].get(before, 0), context, base[i], p0
                     if mass == 0:
-                        self.table[g] = shift
+                        values.append(shift)
                         continue
-                value = (own.get(g, 0) + prior * p0 * math.exp(shift)) / ((mass + prior) * p0)
-                self.table[g] = max(-3.0, min(5.0, math.log(max(value, 1e-6))))
-
-    def scores(self, words: list[str]) -> list[float]:
-        w = ["^", *words]
-        get = self.table.get
-        out = []
-        for i in range(1, len(w)):
-            s = get(tuple(w[max(0, i - 2) : i + 1])) if i >= 2 else None
-            if s is None:
-                s = get((w[i - 1], w[i]))
-            if s is None:
-                s = get((w[i],), -1.0)
-            out.append(s - self.drift)
+                ratio = (own[k].get(g, 0) + prior * p * math.exp(shift)) / ((mass + prior) * p)
+                values.append(max(self.LOW, min(self.HIGH, math.log(max(ratio, 1e-6)))))
+            raw[g] = tuple(values)
+        self.table = {g: tuple(v - drift for v in vs) for g, vs in raw.items()}
+
+    def scores(self, words: list[str]) -> list[tuple[float, ...]]:
+        """One score a word for each kind, from the longest known context."""
+        get, out = self.table.get, []
+        a, b = None, "^"
+        for c in words:
+            pair = f"{b} {c}"
+            s = (get(f"{a} {pair}") if a is not None else None) or get(pair) or get(c) or self.default
+            out.append(s)
+            a, b = b, c
         return out
 
+    def best(self, words: list[str]) -> list[tuple[int, int, float]]:
+        """The best segment (begin, end, score) of each kind."""
+        scores = self.scores(words)
+        return [max(maximal_segments([s[i] for s in scores]), key=lambda x: x[2], default=(0, 0, 0.0)) for i in range(len(self.kinds))]
+
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (begin, end, score) in linear time, by the algorithm of Ruzzo and Tompa."""
