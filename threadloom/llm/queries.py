@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import leakage, lookalike, mixing, pii, spans, toxic
+from . import leakage, lookalike, mixing, pii, spans, subjects, toxic
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -73,6 +73,25 @@ def p3_authors(spark, folder):
     return lookalike.variants_report(table(spark, folder, "posts"))
 
 
+def _subject_tables(spark, folder):
+    return tuple(table(spark, folder, t) for t in ("threads", "thread_categories", "category_taxonomy", "category_examples"))
+
+
+@query()
+def p5_found(spark, folder):
+    return subjects.found(*_subject_tables(spark, folder))
+
+
+@query()
+def p5_subjects(spark, folder):
+    return subjects.subjects(*_subject_tables(spark, folder))
+
+
+@query()
+def p5_composition(spark, folder):
+    return subjects.composition(*_subject_tables(spark, folder))
+
+
 @query()
 def p7_found(spark, folder):
     return leakage.found(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
