@@ -85,11 +85,12 @@ def descendants(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -
 
 
 def trees(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
-    """id, root_id, depth, path (text, ids joined by '/'), n_descendants of every node; loops have a null path and count."""
+    """id, root_id, depth, path (text, ids joined by '/'), n_descendants of every node; loops have an
+    empty path and the count -1."""
     all_ = cut(hierarchy(nodes, node, parent, with_path=True))
     below = all_.where("depth > 0").select(F.explode(F.slice("path", F.lit(1), F.col("depth").cast("int"))).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("below"))
     return all_.join(below, "id", "left").select(
-        "id", "root_id", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), F.when(F.col("depth") >= 0, F.coalesce("below", F.lit(0))).alias("n_descendants")
+        "id", "root_id", "depth", F.coalesce(F.array_join(F.transform("path", lambda x: x.cast("string")), "/"), F.lit("")).alias("path"), F.when(F.col("depth") >= 0, F.coalesce("below", F.lit(0))).otherwise(-1).alias("n_descendants")
     )
 
 

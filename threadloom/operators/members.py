@@ -64,7 +64,7 @@ def interactions(docs: DataFrame) -> DataFrame:
 def edges(docs: DataFrame) -> DataFrame:
     """author, target, n_replies, n_back, median_minutes: upper median of the delays between 0 and 30 days."""
     every = interactions(docs)
-    seconds = F.unix_micros(F.col("answered_at").cast("timestamp")) / 1e6 - F.unix_micros(F.col("asked_at").cast("timestamp")) / 1e6
+    seconds = F.expr("CAST(CAST(answered_at - asked_at AS INTERVAL SECOND) AS DECIMAL(20, 6))").cast("double")
     held = F.when((seconds >= 0) & (seconds <= 86_400 * 30), seconds)
     counts = every.withColumn("s", held).groupBy("author", "target").agg(F.count(F.lit(1)).alias("n_replies"), F.count("s").alias("n"))
     # the upper median by rank, without gathering the delays of a pair in an array

@@ -84,6 +84,10 @@ def matches(term: Column, clauses: list[Clause]) -> Column:
     return out
 
 
+def _tagged(placed: Column, field: str) -> Column:
+    return F.transform(placed, lambda x: F.struct(F.lit(field).alias("field"), x["term"].alias("term"), x["pos"].alias("pos")))
+
+
 def postings(docs: DataFrame, clauses: list[Clause] | None = None, html: bool = True) -> DataFrame:
     """field, term, doc_key, kind, tf, positions. With ``clauses`` only terms that they ask for are unrolled."""
     of_field = []
@@ -92,7 +96,7 @@ def postings(docs: DataFrame, clauses: list[Clause] | None = None, html: bool =
         placed = F.transform(words, lambda w, i: F.struct(i.alias("pos"), w.alias("term")))
         if clauses is not None:
             placed = F.filter(placed, lambda x: matches(x["term"], clauses))
-        of_field.append(F.transform(placed, lambda x, f=field: F.struct(F.lit(f).alias("field"), x["term"].alias("term"), x["pos"].alias("pos"))))
+        of_field.append(_tagged(placed, field))
     # the tokens of one document are grouped within the document: no shuffle is needed to build its postings
     flat = docs.select("doc_key", "kind", F.explode(F.flatten(F.array(*of_field))).alias("x")).select("doc_key", "kind", "x.field", "x.term", "x.pos")
     return flat.groupBy("field", "term", "doc_key", "kind").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
@@ -146,14 +150,22 @@ def search(docs: DataFrame, query: str, scopes: tuple[str, ...] = SCOPES, kind:
     return out.join(hidden.select("doc_key"), "doc_key", "left_anti") if hidden is not None else out
 
 
-ORDER = (F.desc, F.desc, F.asc)
-
-
 def page(hits: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
     """One page in the canonical order: score, then newest, then key. The limit is held within 1 and 100."""
     return hits.orderBy(F.desc("score"), F.desc("created_at"), F.asc("doc_key")).offset(max(0, offset)).limit(max(1, min(100, limit)))
 
 
+def _satisfied(words: Column, c: Clause) -> Column:
+    """Whether the words of one field meet a clause."""
+    wanted = F.array(*map(F.lit, c.tokens))
+    if c.phrase:
+        places = F.transform(words, lambda x, i: i)
+        return F.exists(places, lambda i: F.slice(words, (i + 1).cast("int"), F.lit(len(c.tokens))) == wanted)
+    if c.prefix:
+        return F.forall(wanted, lambda t: F.exists(words, lambda x: x.startswith(t)))
+    return F.forall(wanted, lambda t: F.array_contains(words, t))
+
+
 def additive(docs: DataFrame, query: str, scopes: tuple[str, ...] = SCOPES) -> DataFrame:
     """doc_key, score by the additive rule: every field that matches a clause adds its weight, with bonuses for phrases and
     for a whole author name. A document that misses a clause is left out."""
@@ -167,12 +179,7 @@ def additive(docs: DataFrame, query: str, scopes: tuple[str, ...] = SCOPES) -> D
         for f, w in words.items():
             if c.field not in (None, f):
                 continue
-            if c.phrase:
-                ok = F.exists(F.transform(w, lambda x, i: i), lambda i, w=w, c=c: F.slice(w, (i + 1).cast("int"), F.lit(len(c.tokens))) == F.array(*map(F.lit, c.tokens)))
-            elif c.prefix:
-                ok = F.forall(F.array(*map(F.lit, c.tokens)), lambda t, w=w: F.exists(w, lambda x: x.startswith(t)))
-            else:
-                ok = F.forall(F.array(*map(F.lit, c.tokens)), lambda t, w=w: F.array_contains(w, t))
+            ok = _satisfied(w, c)
             value = F.lit(WEIGHTS[f] + (PHRASE_BONUS if c.phrase else 0.0))
             if f == "user":
                 value = value + F.when(X.identity_key("username") == c.value, WHOLE_NAME_BONUS).otherwise(0.0)

@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import hierarchy, references
+from .registry import QUERIES, SQL, query
 from .sources import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function (spark, folder) under its own name."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["QUERIES", "SQL"]
 
 
 def _forum(spark: SparkSession, folder: str) -> tuple[DataFrame, ...]:
@@ -86,7 +71,7 @@ def p6_found(spark, folder):
 @query(
     f"""WITH RECURSIVE {_WALK},
     pairs AS (SELECT unnest(path[:-2]) AS id FROM whole WHERE depth > 0), below AS (SELECT id, count(*) AS n FROM pairs GROUP BY id)
-    SELECT w.id, w.root_id, CAST(w.depth AS BIGINT) AS depth, array_to_string(w.path, '/') AS path, CASE WHEN w.depth >= 0 THEN coalesce(b.n, 0) END AS n_descendants
+    SELECT w.id, w.root_id, CAST(w.depth AS BIGINT) AS depth, coalesce(array_to_string(w.path, '/'), '') AS path, CASE WHEN w.depth >= 0 THEN coalesce(b.n, 0) ELSE -1 END AS n_descendants
     FROM whole w LEFT JOIN below b ON b.id = w.id"""
 )
 def p6_trees(spark, folder):
@@ -104,3 +89,6 @@ def p6_descendants(spark, folder):
 @query(f"WITH RECURSIVE {_WALK} SELECT root_id AS loop_id, count(*) AS n_nodes FROM whole WHERE depth = -1 GROUP BY root_id")
 def p6_loops(spark, folder):
     return hierarchy.loops(table(spark, folder, "posts"))
+
+
+from . import queries_forum, queries_search  # noqa: E402, F401
