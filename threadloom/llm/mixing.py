@@ -58,7 +58,7 @@ def counted(docs: DataFrame, targets: DataFrame, tokenizer: str | None = None, s
     names = bounded_broadcast(targets.groupBy(F.lower(F.trim("source")).alias("_name")).agg(F.min("source").alias("_source")), 10_000)
     one = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).groupBy("doc_id").agg(F.min(F.struct("text", "source")).alias("d"))
     named = one.select("doc_id", "d.text", F.lower(F.trim("d.source")).alias("_name")).join(names, "_name")
-    return token_counts(named, "text", tokenizer).where("n_tokens > 0").select("doc_id", F.col("_source").alias("source"), "n_tokens", F.xxhash64(F.lit(seed), "doc_id").alias("key"))
+    return token_counts(named, "text", tokenizer).where("n_tokens > 0").select("doc_id", F.col("_source").alias("source"), "n_tokens", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1).alias("key"))
 
 
 def budgets(sizes: dict[str, int], targets: list[tuple[str, float, int]], total_tokens: int | None = None) -> dict[str, int]:
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, to
     plan = F.broadcast(base.sparkSession.createDataFrame(rows, "source string, epochs bigint, rest bigint"))
 
     bits = min(40, max(0, math.ceil(math.log2(max([n for _, n in per_source.values()] or [1]) / BUCKET_ROWS)))) if per_source else 0
-    bucket = F.shiftrightunsigned("key", 64 - bits) if bits else F.lit(0).cast("bigint")
+    bucket = F.shiftright("key", 63 - bits) if bits else F.lit(0).cast("bigint")
     laid = base.withColumn("bucket", bucket)
     order = Window.partitionBy("source").orderBy("bucket")
     before = laid.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("size")).select("source", "bucket", (F.sum("size").over(order) - F.col("size")).alias("before"))
