@@ -34,6 +34,12 @@ def hot_keys(df: DataFrame, on: list[str], share: float = 0.01, least: int = 10_
     return counts.where(F.col("_n") >= least).join(F.broadcast(total), F.col("_n") >= F.col("_all") * share).select(*on)
 
 
+def hot_of(counts: DataFrame, on: list[str], n: str = "n", share: float = 0.01, least: int = 10_000) -> DataFrame:
+    """The hot keys from counts that a plan has anyway; as few as those of ``hot_keys``."""
+    total = counts.agg(F.sum(n).alias("_all"))
+    return counts.where(F.col(n) >= least).join(F.broadcast(total), F.col(n) >= F.col("_all") * share).select(*on)
+
+
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 24, share: float = 0.01, least: int = 10_000, hot: DataFrame | None = None) -> DataFrame:
     """Join ``left``, in which single keys may hold a large part of all rows, to ``right``, which has few rows a key.
 
