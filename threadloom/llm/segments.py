@@ -11,7 +11,7 @@ import numpy as np
 from .lookalike import Rewriter
 
 # Digits and signs written in place of letters inside words.
-LEET = str.maketrans("013457@$!", "oleastasi")
+LEET = str.maketrans("013457@$!", "oieastasi")
 MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>|\[/?[a-zA-Z]+\]|&[a-z]+;")
 SPACED = re.compile(r"(?<![\w])(?:\w[ .*_-]){2,}\w(?![\w])")
 PIECE = re.compile(r"[^\s\w@$!]|[\w@$!'’*]+")
@@ -62,7 +62,7 @@ class LogOdds:
 
     UNSEEN, LOW, HIGH = -1.0, -3.0, 5.0
 
-    def __init__(self, kinds: tuple[str, ...], own: dict[str, Counter], corpus: dict[str, int], own_total: dict[str, int], corpus_total: int, strength: float = 60.0, context: float = 1.0, drift: float = 0.25) -> None:
+    def __init__(self, kinds: tuple[str, ...], own: dict[str, Counter], corpus: dict[str, int], own_total: dict[str, int], corpus_total: int, strength: float = 60.0, context: float = 3.0, drift: float = 0.25) -> None:
         self.kinds, self.drift = kinds, drift
         self.table: dict[str, tuple[float, ...]] = {}
         self.default = tuple(self.UNSEEN - drift for _ in kinds)

@@ -26,7 +26,7 @@ from .lookalike import plain_rewriter
 from .segments import LogOdds, grams, gumbel, maximal_segments, surprise, tokens
 
 KINDS = ("abusive", "hateful", "sexual")
-THRESHOLD = 6.5
+THRESHOLD = 6.0
 SURE, MARGIN, ROUNDS = 9.0, 2.0, 2
 SCORES = "table_name string, record_id bigint, board string, abusive double, hateful double, sexual double, passage string"
 
