@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans import cut, skew_join
+from ..plans import cut, hot_of, skew_join
 
 LENGTH = 400
 #: Odd multipliers of the rolling hash and of the mixing of code points.
@@ -199,8 +199,8 @@ def windows(marked: DataFrame, length: int = LENGTH) -> DataFrame:
 def marked_texts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """cls, text, at: the texts that share an anchor with another, with the positions of those anchors."""
     every = anchors(texts, length)
-    shared = every.groupBy("hash").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("hash")
-    at = skew_join(every, shared, ["hash"]).groupBy("cls").agg(F.collect_list("pos").alias("at"))
+    shared = cut(every.groupBy("hash").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("hash", "n"))
+    at = skew_join(every, shared.select("hash"), ["hash"], hot=hot_of(shared, ["hash"])).groupBy("cls").agg(F.collect_list("pos").alias("at"))
     return texts.join(at, "cls")
 
 
@@ -212,11 +212,12 @@ def _shared_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]
 def class_pairs(marked: DataFrame, length: int = LENGTH) -> DataFrame:
     """cls_a < cls_b: every two distinct texts with a common stretch of the length."""
     every = windows(marked, length)
-    groups = every.groupBy("h1", "h2").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("before").alias("b0"), F.max("before").alias("b1"))
-    ends = groups.where("lo < hi AND (b0 = -1 OR b0 < b1)").select("h1", "h2")
-    kept = cut(skew_join(every, ends, ["h1", "h2"]).select("h1", "h2", "cls", "before").distinct())
+    groups = every.groupBy("h1", "h2").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("before").alias("b0"), F.max("before").alias("b1"), F.count(F.lit(1)).alias("n"))
+    ends = cut(groups.where("lo < hi AND (b0 = -1 OR b0 < b1)").select("h1", "h2", "n"))
+    hot = hot_of(ends, ["h1", "h2"])
+    kept = cut(skew_join(every, ends.select("h1", "h2"), ["h1", "h2"], hot=hot).select("h1", "h2", "cls", "before").distinct())
     other = kept.select("h1", "h2", F.col("cls").alias("cls_b"), F.col("before").alias("before_b"))
-    linked = skew_join(kept, other, ["h1", "h2"]).where("cls < cls_b AND (before <> before_b OR before = -1)")
+    linked = skew_join(kept, other, ["h1", "h2"], hot=hot).where("cls < cls_b AND (before <> before_b OR before = -1)")
     return linked.select(F.col("cls").alias("cls_a"), "cls_b").distinct()
 
 
@@ -236,8 +237,8 @@ def stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, start, n_chars: the maximal runs of text of which every stretch of the length recurs in another document."""
     marked, members = _shared_windows(docs, length)
     every = windows(marked, length)
-    shared = every.groupBy("h1", "h2").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("h1", "h2")
-    at = skew_join(every, shared, ["h1", "h2"]).groupBy("cls").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    shared = cut(every.groupBy("h1", "h2").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("h1", "h2", "n"))
+    at = skew_join(every, shared.select("h1", "h2"), ["h1", "h2"], hot=hot_of(shared, ["h1", "h2"])).groupBy("cls").agg(F.sort_array(F.collect_set("pos")).alias("at"))
 
     @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("n_chars", T.LongType())])))
     def runs(positions: pd.Series) -> pd.Series:
