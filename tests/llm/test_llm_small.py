@@ -249,24 +249,23 @@ def test_toxic_scores(spark):
 # ---- subjects --------------------------------------------------------------------------------------------------------
 def test_subjects(spark):
     rng = random.Random(9)
-    vocab = {c: [f"{a}{i}" for i in "uvwxyz"] for c, a in (("a/one", "alpha"), ("a/two", "beta"), ("b/three", "gamma"))}
-    vocab = {c: ["".join(ch if ch.isalpha() else "q" for ch in w) for w in ws] for c, ws in vocab.items()}
+    vocab = {f"{'ab'[n % 2]}/{g}": [f"{g}{i}" for i in "uvwxyz"] for n, g in enumerate("alpha beta gamma delta omega sigma kappa theta".split())}
     say = lambda c: f"I like the {rng.choice(vocab[c])} more than the {rng.choice(vocab[c])}."
     chat = ["Morning all.", "Nothing to report.", "Who is up?"]
     leaves = list(vocab)
     rows, labels, truth = [], [], {}
-    for i in range(1, 241):
-        c, d = leaves[i % 3], leaves[(i + 1) % 3]
-        body = {0: [say(c) for _ in range(4)], 1: [say(c), say(c), say(d), say(d)], 2: [say(c), say(c), say(c), f"PS: somebody mentioned a {vocab[d][0]}."], 3: chat}[i % 4]
-        truth[i] = {0: {c}, 1: {c, d}, 2: {c}, 3: set()}[i % 4]
+    for i in range(1, 481):
+        c, d = leaves[i % 8], leaves[(i // 8) % 7 if (i // 8) % 7 != i % 8 else 7]
+        body = {0: [say(c) for _ in range(4)], 1: [say(c), say(c), say(d), say(d)], 2: [say(c), say(c), say(c), f"PS: somebody mentioned a {vocab[d][0]}."], 3: chat}[i // 8 % 4]
+        truth[i] = {0: {c}, 1: {c, d}, 2: {c}, 3: set()}[i // 8 % 4]
         rows.append((i, "Look at this", " ".join([*body, rng.choice(chat)])))
-        if i % 4 != 3:
+        if i // 8 % 4 != 3:
             labels.append((i, c.upper() if i % 50 == 0 else c if rng.random() < 0.8 else rng.choice(leaves), "automatic"))
     rows += [(500, None, None), (501, "", ""), rows[0]]
     th = spark.createDataFrame(rows, "id bigint, title string, message string")
     lab = spark.createDataFrame(labels, "thread_id bigint, category_id string, source string")
-    tax = spark.createDataFrame([("a", None), ("b", None), ("unsorted", None), ("a/one", "a"), ("a/two", "a"), ("b/three", "b")], "category_id string, parent_id string")
-    ex = spark.createDataFrame([(c, "x", say(c)) for c in leaves for _ in range(8)], "category_id string, title string, message string")
+    tax = spark.createDataFrame([("a", None), ("b", None), ("unsorted", None), *[(c, c[0]) for c in leaves]], "category_id string, parent_id string")
+    ex = spark.createDataFrame([(c, "x", say(c)) for c in leaves for _ in range(40)], "category_id string, title string, message string")
     got = {}
     for r in subjects.found(th, lab, tax, ex).collect():
         got.setdefault(r.thread_id, set()).add(r.category_id)
