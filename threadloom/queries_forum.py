@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import categories, conversation, members, state, views
 from .queries_search import docs_of
+from .plans import shared_folder
 from .registry import query
 from .sources import table
 from .sqltext import DOCS, KEYED, ROLLUP, collapsed, norm
@@ -318,14 +319,14 @@ def category_threads(spark, folder):
     return views.thread_rollup(docs_of(spark, folder)).join(labels.select("thread_id"), "thread_id", "left_semi").orderBy(F.desc("last_post_at"), F.desc("thread_id")).limit(25).select("thread_id", "title", "last_post_at")
 
 
-_CUT = "TIMESTAMP '2024-02-15 00:00:00'"
+_CUT = "TIMESTAMP '2024-01-15 00:00:00'"
 _STATE = f"""was AS (SELECT 'r:' || user_id AS doc_key, max(ts) AS fp FROM events WHERE ts < {_CUT} GROUP BY user_id), now_ AS (SELECT 'r:' || user_id AS doc_key, max(ts) AS fp FROM events WHERE ts >= {_CUT} GROUP BY user_id)"""
 
 
 def _read_states(spark, folder):
     """What each user did last, before and after a time, as content that has changed or not."""
     ev = table(spark, folder, "events")
-    cut = F.to_timestamp_ntz(F.lit("2024-02-15 00:00:00"))
+    cut = F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00"))
     side = lambda df: df.groupBy("user_id").agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fp")).select(F.concat(F.lit("r:"), "user_id").alias("doc_key"), (F.col("user_id") % 20).alias("thread_id"), "fp")
     return side(ev.where(F.col("ts") < cut)), side(ev.where(F.col("ts") >= cut))
 
@@ -366,12 +367,7 @@ def saved_toggle(spark, folder):
 
 def _folder(spark) -> str:
     """A fresh folder for a stream's state, beside the checkpoints that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        return tempfile.mkdtemp(prefix="threadloom-stream-")
-    import uuid
-
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark, folder, name):
