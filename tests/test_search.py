@@ -91,3 +91,16 @@ def test_text_functions(spark):
     X.register(spark)
     assert spark.sql("SELECT search_tokens('Café—x') AS t").first().t == ["cafe", "x"]
     assert X.fnv1a("") == 2166136261
+
+
+def test_positional_index_is_whole(spark, tmp_path):
+    from threadloom import queries
+
+    when = dt.datetime(2024, 1, 1)
+    schema = "id bigint, thread_id bigint, parent_id bigint, author string, title string, message string, source_url string, ingested_at timestamp_ntz"
+    spark.createDataFrame([(1, 1, None, "Ann", "Espresso bar", "bar <b>Café</b> bar", "x/b/a/", when)], schema).write.parquet(str(tmp_path / "threads.parquet"))
+    spark.createDataFrame([(2, 1, None, "Bo", "", "espresso zebra", "x/b/a/", when), (2, 1, None, "Bo", "", "espresso zebra", "x/b/a/", when)], schema).write.parquet(str(tmp_path / "posts.parquet"))
+    got = {tuple(r) for r in queries.QUERIES["positional_index"](spark, str(tmp_path)).select("field", "term", "doc_key", "kind", "tf", "positions").collect()}
+    assert got == {
+        ("user", "ann", "t:1", "t", 1, "0"), ("title", "espresso", "t:1", "t", 1, "0"), ("title", "bar", "t:1", "t", 1, "1"), ("body", "bar", "t:1", "t", 2, "0,2"), ("body", "cafe", "t:1", "t", 1, "1"),
+        ("user", "bo", "r:2", "r", 1, "0"), ("body", "espresso", "r:2", "r", 1, "0"), ("body", "zebra", "r:2", "r", 1, "1")}

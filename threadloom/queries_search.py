@@ -95,6 +95,12 @@ def posting_positions(spark, folder):
     return posts.select("field", "term", "doc_key", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
 
 
+@query(f"{INDEX}, p AS (SELECT field, term, doc_key, kind, count(*) AS tf, string_agg(pos, ',' ORDER BY pos) AS positions FROM toks GROUP BY ALL) SELECT * FROM p")
+def positional_index(spark, folder):
+    """The whole index: every posting of every term, with its positions."""
+    return search.postings(docs_of(spark, folder)).withColumn("positions", F.array_join(F.transform("positions", lambda x: x.cast("string")), ","))
+
+
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 
 
