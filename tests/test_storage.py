@@ -78,3 +78,28 @@ def test_prefilter_and_model(spark):
 
     items = spark.createDataFrame([(1, "good", ""), (2, "bad", ""), (3, "weak", "")], "thread_id bigint, title string, message string")
     assert {(r.thread_id, r.category_id) for r in categories.classify(items, model).collect()} == {(1, "law"), (2, "unsorted"), (3, "unsorted")}
+
+
+@pytest.mark.parametrize("n", [13, 30_000])
+def test_reply_trees_of_any_depth(spark, tmp_path, n):
+    big = 2**62
+    text = "".join(f'{{"Id": {big + i}, "ThreadId": 7, "Message": "m{i} \\u00e9 ]}}", "Replies": [' for i in range(n)) + "]}" * n
+    (tmp_path / "a.json").write_text(f'[{text}, {{"Id": 1, "Title": null, "PostedByUsername": "A"}}]')
+    (tmp_path / "b.json").write_text("[]")
+    rows = {r.post_id: r for r in archive.reply_trees(spark, str(tmp_path)).collect()}
+    assert {(r.post_id, r.parent_id) for r in rows.values()} == {(big + i, big + i - 1 if i else None) for i in range(n)} | {(1, None)}
+    assert rows[big + n - 1].message == f"m{n - 1} é ]}}" and rows[1].author == "A" and rows[1].title is None
+    with pytest.raises(Exception, match="deeper than 4"):
+        archive.reply_trees(spark, str(tmp_path), 4).collect()
+    (tmp_path / "b.json").write_text('[{"Id": 5, "Replies": [}]')
+    with pytest.raises(Exception, match="JSONDecodeError"):
+        archive.reply_trees(spark, str(tmp_path)).collect()
+
+
+def test_deep_decoder_agrees():
+    for x in ([], {}, [[], {}], {"a": [1, -2.5, None, True, {"b": "\\\"]}", "c": {}}], "d": []}, [{"a": 1}, {"a": [[1]]}], 5, "x"):
+        for indent in (None, 2):
+            assert archive._decoded(json.dumps(x, indent=indent)) == x
+    for bad in ("", "[1", "[1,]", '{"a" 1}', '{"a":1,}', "[1] 2", "{1:2}", "[}", "]"):
+        with pytest.raises(ValueError):
+            archive._decoded(bad)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,10 +16,104 @@ THREAD = T.StructType([T.StructField("Id", T.LongType()), T.StructField("Title",
 CATALOGUE = T.StructType([T.StructField("PageNumber", T.IntegerType()), T.StructField("ThreadCount", T.IntegerType()), T.StructField("Threads", T.ArrayType(THREAD))])
 
 
-def reply_type(depth: int) -> T.StructType:
-    """The nested reply record, bounded in depth, for types cannot recur."""
-    fields = [T.StructField("Id", T.LongType()), T.StructField("ThreadId", T.LongType()), T.StructField("Title", T.StringType()), T.StructField("Message", T.StringType()), T.StructField("PostedByUsername", T.StringType()), T.StructField("CreatedDateTimeUtc", T.StringType())]
-    return T.StructType([*fields, *([T.StructField("Replies", T.ArrayType(reply_type(depth - 1)))] if depth > 1 else [])])
+REPLY = "post_id bigint, thread_id bigint, parent_id bigint, title string, message string, author string, created_utc string"
+_SCALAR = json.JSONDecoder()
+
+
+def decoded(text: str):
+    """The value of a JSON document of any depth; the standard decoder recurs, so what is too deep for it is decoded with a stack."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _decoded(text)
+
+
+def _decoded(text: str):
+    space = re.compile(r"[ \t\n\r]*")
+    skip = lambda i: space.match(text, i).end()
+    top: list = []
+    open_: list = [top]  # the containers around the place
+    keys: list = [None]  # the key in each of them that waits for its value
+    at = 0
+
+    def bad(i: int) -> ValueError:
+        return json.JSONDecodeError("not JSON", text, i)
+
+    def put(value) -> None:
+        if isinstance(open_[-1], dict):
+            open_[-1][keys[-1]] = value
+        else:
+            open_[-1].append(value)
+
+    def key(i: int) -> int:
+        if text[i : i + 1] != '"':
+            raise bad(i)
+        keys[-1], i = _SCALAR.raw_decode(text, i)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise bad(i)
+        return skip(i + 1)
+
+    at = skip(at)
+    while True:
+        c = text[at : at + 1]
+        if c and c in "[{":
+            new = [] if c == "[" else {}
+            put(new)
+            open_.append(new)
+            keys.append(None)
+            at = skip(at + 1)
+            if text[at : at + 1] != ("]" if c == "[" else "}"):
+                at = key(at) if c == "{" else at
+                continue
+        else:
+            value, at = _SCALAR.raw_decode(text, at)
+            put(value)
+            at = skip(at)
+        # a value has ended: close what ends with it, then go on behind a comma
+        while len(open_) > 1 and text[at : at + 1] == ("}" if isinstance(open_[-1], dict) else "]"):
+            open_.pop()
+            keys.pop()
+            at = skip(at + 1)
+        if len(open_) == 1:
+            if at < len(text):
+                raise bad(at)
+            return top[0]
+        if text[at : at + 1] != ",":
+            raise bad(at)
+        at = skip(at + 1)
+        if isinstance(open_[-1], dict):
+            at = key(at)
+
+
+def _whole(x) -> int | None:
+    if x is not None and (not isinstance(x, int) or isinstance(x, bool) or not -(2**63) <= x < 2**63):
+        raise ValueError(f"not a whole number: {x!r:.40}")
+    return x
+
+
+def _words(x) -> str | None:
+    return x if x is None or isinstance(x, str) else json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+
+
+def replies(text: str, depth: int | None = None) -> Iterator[tuple]:
+    """The rows of one reply document, on every level; raises where it is malformed, or nested deeper than ``depth``."""
+    if not (text := text.removeprefix("\ufeff")).strip():
+        return
+    roots = decoded(text)
+    stack = [(r, None, 1) for r in (roots if isinstance(roots, list) else [roots])]
+    while stack:
+        r, parent, level = stack.pop()
+        r = {} if r is None else r
+        if not isinstance(r, dict):
+            raise ValueError("a reply is no object")
+        if depth is not None and level > depth:
+            raise ValueError(f"replies are nested deeper than {depth}")
+        own, below = _whole(r.get("Id")), r.get("Replies")
+        yield own, _whole(r.get("ThreadId")), parent, *(_words(r.get(k)) for k in ("Title", "Message", "PostedByUsername", "CreatedDateTimeUtc"))
+        if below is not None and not isinstance(below, list):
+            raise ValueError("Replies is no array")
+        stack.extend((x, own, level + 1) for x in below or ())
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -23,16 +123,21 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.col("t.Id").alias("thread_id"), F.col("t.Title").alias("title"), F.col("t.Message").alias("message"), F.col("t.PostedByUsername").alias("author"), F.col("t.CreatedDateTimeUtc").alias("created_utc"), F.col("t.LastPostDateTimeUtc").alias("last_post_utc"), F.greatest(F.lit(0), F.col("t.PostCount") - 1).alias("reply_count"))
 
 
-def reply_trees(spark: SparkSession, path: str, depth: int = 12) -> DataFrame:
-    """post_id, thread_id, parent_id, title, message, author, created_utc from nested reply JSON (an array a file)."""
-    level = spark.read.schema(reply_type(depth)).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("parent_id", F.lit(None).cast("bigint"))
-    out = None
-    for d in range(depth, 0, -1):
-        rows = level.select(F.col("Id").alias("post_id"), F.col("ThreadId").alias("thread_id"), "parent_id", F.col("Title").alias("title"), F.col("Message").alias("message"), F.col("PostedByUsername").alias("author"), F.col("CreatedDateTimeUtc").alias("created_utc"))
-        out = rows if out is None else out.unionByName(rows)
-        if d > 1:
-            level = level.select(F.col("Id").alias("parent_id"), F.explode("Replies").alias("r")).select("r.*", "parent_id")
-    return out
+def reply_trees(spark: SparkSession, path: str, depth: int | None = None) -> DataFrame:
+    """post_id, thread_id, parent_id, title, message, author, created_utc from nested reply JSON (an array a file), of any depth.
+
+    With ``depth`` a file whose replies are nested deeper is an error; none are left out."""
+    names = [c.split()[0] for c in REPLY.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for text in b["value"]:
+                rows = replies(text, depth)
+                while part := list(itertools.islice(rows, 10_000)):
+                    # objects, for a column of numbers with nulls would become floats
+                    yield pd.DataFrame(part, columns=names, dtype=object)
+
+    return spark.read.text(path, wholetext=True).mapInPandas(run, REPLY)
 
 
 def archive_tables(spark: SparkSession, url: str, properties: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
