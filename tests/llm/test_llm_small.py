@@ -131,6 +131,18 @@ def test_leakage(spark):
     assert {r.item_id: r.n_docs for r in leakage.per_item(df.limit(0), it).collect()} == dict.fromkeys([*items, 20, 21], 0)
 
 
+def test_leakage_of_copies_near_each_other(spark):
+    w = [f"w{i}" for i in range(1, 41)]
+    fill = [f"f{i}" for i in range(300)]
+    quoted = [*w[:10], "well", *w[10:20], *fill[:15], *w[4:16]]
+    turned = [*w[:20], *fill[:200], *w[22:40], *w[:18]]
+    df = spark.createDataFrame([(1, " ".join(quoted)), (2, " ".join(turned)), (3, " ".join([*w[:9], "well", *w[10:20], *fill[:15], *w[4:16]]))], "doc_id bigint, text string")
+    it = spark.createDataFrame([(5, "s", " ".join(w))], "item_id bigint, suite string, passage string")
+    assert {tuple(r) for r in leakage.found(df, it).collect()} == {(1, 5), (2, 5)}
+    got = {r.doc_id: (r.in_order, r.coverage) for r in leakage.leaks(df, it).collect()}
+    assert got[1] == (0.5, 0.5) and got[2] == (0.5, 0.9)
+
+
 # ---- mixing ----------------------------------------------------------------------------------------------------------
 def test_mixing(spark):
     rng = random.Random(4)

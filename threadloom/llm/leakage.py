@@ -3,8 +3,8 @@
 Both sides become words: look-alike characters in one form, markup and punctuation dropped, lower case. Every document
 is scanned once against a block of items (the query set, in blocks of bounded size): shared runs of three words are the seeds,
 found by a lookup of Karp-Rabin hashes of the words. A document and an item with enough seeds in one place are tiled: the
-longest common run of unmarked words is marked again and again until no run of three is left. The item has leaked where the
-tiles that lie in order, in one place, cover at least half of its words. Coverage in any order is reported too, so passages
+longest common run of unmarked words is marked again and again until no run of three is left; where copies near each other
+could share words, each passage of the place is tiled on its own as well. The item has leaked where the tiles that lie in order, in one place, cover at least half of its words. Coverage in any order is reported too, so passages
 whose sentences changed places are caught.
 
 The seed filter loses nothing: tiles of at least three words that cover half of n words hold at least n/6 seeds.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -69,14 +70,15 @@ class Index:
             enough = math.ceil(len(item) * least / SEED)
             if len(at) < enough:
                 continue
-            best = (0.0, 0.0, 0, 0)
-            for begin, end in places(at, enough, reach(len(item))):
+            n, span = len(item), reach(len(item))
+            best, any_order = (0, 0, 0), 0
+            for begin, end in places(at, enough, span):
                 tiles = tile(item, doc, begin, end)
-                any_order = sum(t[2] for t in tiles) / len(item)
-                covered, first, last = chain(tiles, reach(len(item)))
-                best = max(best, (covered / len(item), any_order, first, last))
-            if max(best[0], best[1]) >= least:
-                yield self.items[k][0], best[1], best[0], best[2], best[3]
+                any_order = max(any_order, sum(t[2] for t in tiles))
+                best = max(best, chain(tiles, span))
+                best, any_order = alone(item, doc, begin, end, span, best, any_order)
+            if max(best[0], any_order) >= least * n:
+                yield self.items[k][0], any_order / n, best[0] / n, best[1], best[2]
 
 
 def reach(n: int) -> int:
@@ -98,13 +100,44 @@ def places(at: list[int], enough: int, span: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def tile(item: list[int], doc: list[int], begin: int, end: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in the item, place in the document, length), the longest first; each word is in one tile at most."""
-    text = doc[begin:end]
+def seed_pairs(item: list[int], text: list[int]) -> list[tuple[int, int]]:
+    """Places in the item and in the text of every shared seed, by the place in the text."""
     where: dict[tuple[int, ...], list[int]] = defaultdict(list)
     for p in range(len(item) - SEED + 1):
         where[tuple(item[p : p + SEED])].append(p)
-    pairs = [(p, q) for q in range(len(text) - SEED + 1) for p in where.get(tuple(text[q : q + SEED]), ())]
+    return [(p, q) for q in range(len(text) - SEED + 1) for p in where.get(tuple(text[q : q + SEED]), ())]
+
+
+def bounds(pairs: list[tuple[int, int]]) -> tuple[int, int]:
+    """The most item words that any tiles of these seeds can cover in order (longest common subsequence), and in any order."""
+    tails: list[int] = []
+    for _, p in sorted({(q + d, -p - d) for p, q in pairs for d in range(SEED)}):
+        at = bisect_left(tails, -p)
+        tails[at : at + 1] = [-p]
+    return len(tails), len({p + d for p, _ in pairs for d in range(SEED)})
+
+
+def alone(item: list[int], doc: list[int], begin: int, end: int, span: int, best: tuple[int, int, int], any_order: int) -> tuple[tuple[int, int, int], int]:
+    """The best chain and coverage, where passages of up to ``span`` words are tiled each on its own, so that copies near each
+    other take no words from one another. Passages that cannot be better than ``best`` and ``any_order`` are left out."""
+    pairs = [(p, q + begin) for p, q in seed_pairs(item, doc[begin:end])]
+    better = lambda some: any(x > y for x, y in zip(bounds(some), (best[0], any_order), strict=True))
+    if better(pairs):
+        for a in sorted({q for _, q in pairs}):
+            own = [x for x in pairs if a <= x[1] <= a + span - SEED]
+            while own and better(own):
+                z = own[-1][1]
+                tiles = tile(item, doc, a, z + SEED)
+                any_order = max(any_order, sum(t[2] for t in tiles))
+                best = max(best, chain(tiles, span))
+                own = [x for x in own if x[1] < z]
+    return best, any_order
+
+
+def tile(item: list[int], doc: list[int], begin: int, end: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place in the item, place in the document, length), the longest first; each word is in one tile at most."""
+    text = doc[begin:end]
+    pairs = seed_pairs(item, text)
     free_i, free_t = [True] * len(item), [True] * len(text)
     tiles: list[tuple[int, int, int]] = []
     while pairs:
@@ -176,7 +209,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, block: int = BL
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("in_order", "coverage", "first_word", "last_word")).alias("x")).select("doc_id", "item_id", "x.coverage", "x.in_order", "x.first_word", "x.last_word")
+    return out.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max(F.struct("in_order", "first_word", "last_word")).alias("x")).select("doc_id", "item_id", "coverage", "x.in_order", "x.first_word", "x.last_word")
 
 
 def found(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
