@@ -286,6 +286,16 @@ def test_subjects(spark):
     assert subjects.found(th.limit(0), lab, tax, ex).count() == 0 and subjects.found(th, lab.limit(0), tax.limit(0), ex).count() == 0
 
 
+def test_rare_terms_count_whatever_the_number_of_frequent_ones(spark):
+    letters = [a + b + c + d for a, b, c, d in itertools.product("abcdefghij", repeat=4)][:9000]
+    common = " ".join(letters)
+    rows = [(i, common, "", "ab"[i % 2]) for i in range(14)] + [(i, "rareword", "", "c") for i in range(20, 26)]
+    texts = spark.createDataFrame([r[:3] for r in rows], "thread_id bigint, title string, message string")
+    lab = spark.createDataFrame([(r[0], r[3], "manual") for r in rows], "thread_id bigint, category_id string, source string")
+    ex = spark.createDataFrame([], "category_id string, title string, message string")
+    assert list(subjects.term_table(texts, lab, ex, ["a", "b", "c"])["term"]) == ["rareword"]
+
+
 def test_tables_are_small_and_plain():
     assert all(len(a) == len(b) for a, b in glyphs.LETTERS) and sum(len(a) for a, _ in glyphs.LETTERS) < 200
     assert isinstance(pd.DataFrame(), pd.DataFrame)

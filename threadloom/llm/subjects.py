@@ -26,8 +26,8 @@ from ..plans import cut
 from .leakage import MARKUP
 from .lookalike import plain_rewriter
 
-#: At most so many terms, the most frequent ones among those that discriminate; and leaves for each category.
-MOST_TERMS, LEAVES_EACH, LEAST_TERM, LEAST_WEIGHT, SMOOTHING = 4_096, 4, 6, 0.42, 3.0
+#: Leaves for each category; every term with so many texts and that weight counts.
+LEAVES_EACH, LEAST_TERM, LEAST_WEIGHT, SMOOTHING = 4, 6, 0.42, 3.0
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+|<br\s*/?>|</p>|\[/quote\]", re.I)
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 #: Openings of a sentence that adds something beside the subject.
@@ -82,9 +82,13 @@ def term_table(texts: DataFrame, labels: DataFrame, examples: DataFrame, leaves:
 
     counts = given.unionByName(shown).mapInPandas(count, "term string, category_id string, w double, n double").groupBy("term", "category_id").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
     k = len(leaves)
-    # the smoothed share of the most likely category decides first, so that few terms are gathered
     frequent = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("w").alias("top"), F.map_from_entries(F.collect_list(F.struct("category_id", "w"))).alias("by")).where((F.col("n") >= LEAST_TERM) & (F.col("top") >= 0.18 * F.col("w")))
-    rows = frequent.orderBy(F.desc("n"), "term").limit(MOST_TERMS * 2).select("term", "n", "by").collect()
+    # the weight is known before any term is gathered (but for rounding, so that it is held against the bound again below)
+    share = lambda w: (w + SMOOTHING / k) / (F.col("w") + SMOOTHING)
+    plogp = lambda p: p * F.log(p)
+    seen = F.aggregate(F.map_values("by"), F.lit(0.0), lambda total, w: total + plogp(share(w)))
+    weight = F.lit(1.0) + (seen + (F.lit(k) - F.size("by")) * plogp(share(F.lit(0.0)))) / F.lit(math.log(k) if k > 1 else 1.0)
+    rows = frequent.where(weight >= LEAST_WEIGHT - 1e-9).orderBy(F.desc("n"), "term").select("term", "n", "by").collect()
     out = []
     for r in rows:
         p = np.array([r["by"].get(c, 0.0) for c in leaves])
@@ -92,7 +96,7 @@ def term_table(texts: DataFrame, labels: DataFrame, examples: DataFrame, leaves:
         weight = 1 + float((p * np.log(p)).sum()) / math.log(k)
         if weight >= LEAST_WEIGHT:
             out.append((r.term, r.n, weight, p))
-    return pd.DataFrame(out[:MOST_TERMS], columns=["term", "n", "weight", "p"])
+    return pd.DataFrame(out, columns=["term", "n", "weight", "p"])
 
 
 def vectors(texts: DataFrame, terms: pd.DataFrame) -> DataFrame:
