@@ -2,7 +2,7 @@
 
 Both sides become words: look-alike characters in one form, markup and punctuation dropped, lower case. Every document
 is scanned once against a block of items (the query set, in blocks of bounded size): shared runs of three words are the seeds,
-found by a lookup of Karp-Rabin hashes of the words. A document and an item with enough seeds in one place are tiled: the
+found by a lookup of exact tuples of word numbers (in place of Karp-Rabin hashes, with the same results). A document and an item with enough seeds in one place are tiled: the
 longest common run of unmarked words is marked again and again until no run of three is left; where copies near each other
 could share words, each passage of the place is tiled on its own as well. The item has leaked where the tiles that lie in order, in one place, cover at least half of its words. Coverage in any order is reported too, so passages
 whose sentences changed places are caught.
