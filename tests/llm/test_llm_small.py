@@ -28,6 +28,15 @@ def test_rewriter_forms():
     assert len({r(x) for x in form}) == len(form)
 
 
+def test_classes_are_closed_over_composition():
+    for a, b in (("Zo\u0451", "Zo\u00eb"), ("\u0457", "\u00ef"), ("\u03cc", "\u00f3"), ("\u043e\u0301", "\u00f3"), ("\u1ec7", "\u0435\u0323\u0302")):
+        for usual in (a, b):
+            rw = lookalike.Rewriter(lookalike.rewrites({c: 9 for c in usual} | {"e": 5, "\u0435": 7}))
+            assert rw(a) == rw(b), (a, b, usual)
+    rw = lookalike.plain_rewriter()
+    assert len({rw(x) for x in ("e", "\u00eb", "\u00e9", "\u00f6", "\u00ef")}) == 5
+
+
 def test_lookalike_pairs_match_brute_force(spark):
     rng = random.Random(1)
     base = ["thanks", "ok then", "a longer café text", ""]

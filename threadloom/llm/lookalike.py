@@ -56,6 +56,7 @@ def classes() -> tuple[tuple[str, ...], ...]:
         parts = unicodedata.normalize("NFD", form)
         if len(parts) > 1:
             sets.join(form, parts)
+    composed = []
     for code in range(0xC0, 0x2000):
         parts = unicodedata.normalize("NFD", chr(code))
         if len(parts) > 1:
@@ -63,6 +64,18 @@ def classes() -> tuple[tuple[str, ...], ...]:
             inner = unicodedata.normalize("NFC", parts[:-1])
             if len(inner) == 1:
                 sets.join(chr(code), inner + parts[-1])
+                composed.append((chr(code), inner, parts[-1]))
+    # look-alike bases with the same mark look alike, composed or not; a class that grows may be the base of another
+    known = None
+    while known != (known := (len(sets.up), sum(sets.find(x) == x for x in list(sets.up)))):
+        members: dict[str, list[str]] = {}
+        for x in sorted(sets.up):
+            if x and all(map(unicodedata.combining, x[1:])):
+                members.setdefault(sets.find(x), []).append(x)
+        for form, inner, mark in composed:
+            for x in members.get(sets.find(inner), ()):
+                sets.join(form, x + mark)
+                sets.join(form, unicodedata.normalize("NFC", x + mark))
     groups: dict[str, list[str]] = {}
     for x in sorted(sets.up):
         groups.setdefault(sets.find(x), []).append(x)
