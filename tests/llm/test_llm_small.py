@@ -265,6 +265,36 @@ def test_toxic_scores(spark):
     rates = {(r.table_name, r.board): (r.n_records, r.n_abusive + r.n_hateful + r.n_sexual) for r in toxic.rates(posts, threads, lab).collect()}
     assert rates["posts", "x"] == (400, sum(1 for i in got if i <= 400)) and rates["posts", "y"] == (1, 0)
     assert toxic.found(posts, threads, lab.limit(0)).count() == 0 and toxic.found(posts.limit(0), threads.limit(0), lab).count() == 0
+    parts = toxic.passages(posts, threads, lab).where("table_name = 'posts'").collect()
+    assert {(r.record_id, r.harm) for r in parts if r.surprise > 15} >= {(i, k) for i, k in truth.items()}
+    assert all("fool" in r.passage for r in parts if r.harm == "abusive" and r.surprise > 15)
+
+
+def test_toxic_fit_outlives_wrong_labels():
+    rng = random.Random(4)
+    bad = {"abusive": "you are a rotten fool and everybody hates you", "hateful": "those valley folk should all be thrown out", "sexual": "come and touch me all over tonight"}
+    say = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randint(4, 12)))
+    sample, corpus = [], {}
+    for i in range(4000):
+        kind = list(bad)[i % 3] if i % 5 == 0 else None
+        text = f"{say()} {bad[kind]} {say()}" if kind else say()
+        label = rng.choice([*bad, "none"]) if i % 17 == 0 else kind or "none"
+        sample.append(segments.Sample(label, text.split(), i % toxic.FOLDS))
+        for w in text.split():
+            corpus[w] = corpus.get(w, 0) + 1
+    judge = toxic.fit_sample(sample, corpus, sum(corpus.values()))
+    for kind, passage in bad.items():
+        s, (begin, end) = judge(words := f"{say()} {passage} {say()}".split())
+        assert toxic.KINDS[s.index(max(s))] == kind and max(s) >= toxic.THRESHOLD and len(set(passage.split()) & set(words[begin:end])) >= 4
+    assert sum(max(judge(say().split())[0]) >= toxic.THRESHOLD for _ in range(300)) <= 6
+
+
+def test_joint_surprise_counts_several_passages():
+    law = (1.0, 0.0)
+    assert segments.joint_surprise([], 10, law) == 0.0
+    one = segments.joint_surprise([9.0], 10, law)
+    assert abs(one - segments.surprise(9.0, 10, law)) < 1e-9 and segments.joint_surprise([9.0, 9.0], 10, law) > one + 3
+    assert segments.joint_surprise([9.0, 1.0], 10, law) == one
 
 
 # ---- subjects --------------------------------------------------------------------------------------------------------

@@ -52,6 +52,11 @@ def p2_scores(spark, folder):
     return toxic.scores(*_forum(spark, folder), table(spark, folder, "content_labels"))
 
 
+@query()
+def p2_passages(spark, folder):
+    return toxic.passages(*_forum(spark, folder), table(spark, folder, "content_labels"))
+
+
 @query()
 def p2_rates(spark, folder):
     return toxic.rates(*_forum(spark, folder), table(spark, folder, "content_labels"))

@@ -47,48 +47,71 @@ def tokens(text: str | None, rewrite: Rewriter) -> list[str]:
     return out
 
 
-def grams(words: list[str]) -> list[str]:
-    """All runs of one to three words, each joined by blanks; a text begins with a mark."""
-    w = ["^", *words]
-    return [*words, *(f"{a} {b}" for a, b in zip(w, w[1:])), *(f"{a} {b} {c}" for a, b, c in zip(w, w[1:], w[2:]))]
+def grams(words: list[str], begin: int = 0, end: int | None = None) -> list[str]:
+    """All runs of one to three words that end at a word from ``begin`` to ``end``, each joined by blanks; a text begins with a mark."""
+    w, out = ["^", *words], []
+    for i in range(begin + 1, (len(words) if end is None else end) + 1):
+        pair = f"{w[i - 1]} {w[i]}"
+        out += (w[i], pair)
+        if i > 1:
+            out.append(f"{w[i - 2]} {pair}")
+    return out
+
+
+def before(gram: str) -> str:
+    """The context of a run: all but its last word."""
+    return gram.rpartition(" ")[0]
+
+
+class Sample:
+    """A reviewed text: its label, its words, the part that is read as its passage, and whether the fit uses it."""
+
+    __slots__ = ("label", "words", "fold", "begin", "end", "kept")
+
+    def __init__(self, label: str, words: list[str], fold: int) -> None:
+        self.label, self.words, self.fold, self.begin, self.end, self.kept = label, words, fold, 0, len(words), True
 
 
 class LogOdds:
-    """Scores of words in context for each kind of text against the whole corpus, in one table.
+    """Scores of words in context for each kind of passage against all other reviewed text, in one table.
 
-    The prior of each distribution of a kind is the corpus's own, moved by the score of the shorter context: a word whose
-    context has no evidence scores as the shorter context does, a word never seen scores a small loss. ``drift`` is
-    subtracted from every word, so that passages without evidence lose."""
+    Both sides are distributions with Dirichlet priors: that of single words is the corpus's own distribution with a weight
+    of ``strength`` of the side's size, that of a word after one or two others is the distribution after the shorter
+    context with a weight of ``context`` words. A word that no side knows scores ``-drift``, so that passages
+    without evidence lose. Runs whose context no passage holds are left out: there the shorter run decides."""
 
-    UNSEEN, LOW, HIGH = -1.0, -3.0, 5.0
+    LOW, HIGH = -4.0, 6.0
 
-    def __init__(self, kinds: tuple[str, ...], own: dict[str, Counter], corpus: dict[str, int], own_total: dict[str, int], corpus_total: int, strength: float = 60.0, context: float = 3.0, drift: float = 0.25) -> None:
-        self.kinds, self.drift = kinds, drift
+    def __init__(self, kinds: tuple[str, ...], strength: float = 0.3, context: float = 8.0, drift: float = 0.5) -> None:
+        self.kinds, self.strength, self.context, self.drift = kinds, strength, context, drift
         self.table: dict[str, tuple[float, ...]] = {}
-        self.default = tuple(self.UNSEEN - drift for _ in kinds)
-        n_all = max(corpus_total, 1)
-        unseen = (self.UNSEEN,) * len(kinds)
-        raw: dict[str, tuple[float, ...]] = {}
-        for g in sorted(corpus, key=lambda g: g.count(" ")):
-            order = g.count(" ")
-            c0 = max(corpus[g], 1, *(own[k].get(g, 0) for k in kinds))
-            if order:
-                before, _, _ = g.rpartition(" ")
-                p0 = min(1.0, c0 / max(corpus.get(before, c0), c0))
-                base = raw.get(g.partition(" ")[2], unseen)
-            values = []
-            for i, k in enumerate(kinds):
-                if order == 0:
-                    mass, prior, shift, p = max(own_total[k], 1), strength, 0.0, c0 / n_all
-                else:
-                    mass, prior, shift, p = own[k].get(before, 0), context, base[i], p0
-                    if mass == 0:
-                        values.append(shift)
-                        continue
-                ratio = (own[k].get(g, 0) + prior * p * math.exp(shift)) / ((mass + prior) * p)
-                values.append(max(self.LOW, min(self.HIGH, math.log(max(ratio, 1e-6)))))
-            raw[g] = tuple(values)
-        self.table = {g: tuple(v - drift for v in vs) for g, vs in raw.items()}
+        self.default = (-drift,) * len(kinds)
+
+    def fit(self, counts: list[Counter], masses: list[int], corpus: dict[str, int], corpus_total: int) -> LogOdds:
+        """``counts`` of runs: in harmless text, then in passages of each kind; ``masses``: their numbers of words."""
+        n = len(self.kinds)
+        sizes = [m for i in range(n) for m in (masses[1 + i], sum(masses) - masses[1 + i])]
+        weights = [max(self.strength * m, 1.0) for m in sizes]
+        held = set().union(*(c.keys() for c in counts[1:]))
+        wanted = held | {g for g in counts[0] if " " not in g or before(g) in held}
+
+        def sides(g: str) -> list[int]:
+            each = [c[g] for c in counts]
+            every = sum(each)
+            return [x for e in each[1:] for x in (e, every - e)]
+
+        chances: dict[str, list[float]] = {}
+        for g in sorted(wanted, key=lambda g: g.count(" ")):
+            if " " not in g:
+                q = (corpus.get(g, 0) + 0.5) / (corpus_total + 1)
+                chances[g] = [(c + w * q) / (m + w) for c, w, m in zip(sides(g), weights, sizes, strict=True)]
+            else:
+                shorter = g.partition(" ")[2]
+                base = chances.get(shorter) or chances[shorter.rpartition(" ")[2]]
+                chances[g] = [(c + self.context * p) / (m + self.context) for c, p, m in zip(sides(g), base, sides(before(g)), strict=True)]
+            p = chances[g]
+            self.table[g] = tuple(max(self.LOW, min(self.HIGH, math.log(p[2 * i] / p[2 * i + 1]))) - self.drift for i in range(n))
+        return self
 
     def scores(self, words: list[str]) -> list[tuple[float, ...]]:
         """One score a word for each kind, from the longest known context."""
@@ -96,15 +119,16 @@ class LogOdds:
         a, b = None, "^"
         for c in words:
             pair = f"{b} {c}"
-            s = (get(f"{a} {pair}") if a is not None else None) or get(pair) or get(c) or self.default
-            out.append(s)
+            out.append((get(f"{a} {pair}") if a is not None else None) or get(pair) or get(c) or self.default)
             a, b = b, c
         return out
 
-    def best(self, words: list[str]) -> list[tuple[int, int, float]]:
-        """The best segment (begin, end, score) of each kind."""
-        scores = self.scores(words)
-        return [max(maximal_segments([s[i] for s in scores]), key=lambda x: x[2], default=(0, 0, 0.0)) for i in range(len(self.kinds))]
+    def segments(self, words: list[str]) -> list[list[tuple[int, int, float]]]:
+        """All maximal scoring segments (begin, end, score) of each kind."""
+        rows = self.scores(words)
+        if all(r is self.default for r in rows):
+            return [[] for _ in self.kinds]
+        return [maximal_segments(column) if max(column) > 0 else [] for column in zip(*rows, strict=True)]
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -148,6 +172,29 @@ def gumbel(maxima: np.ndarray, lengths: np.ndarray) -> tuple[float, float]:
 
 def surprise(score: float, length: int, law: tuple[float, float]) -> float:
     """Minus the natural log of the chance of such a best score in a harmless text of this length."""
-    scale, place = law
-    z = (score - place) / scale - math.log(max(length, 1))
+    z = excess(score, length, law)
     return z if z > 30 else -math.log(max(1e-300, -math.expm1(-math.exp(-z))))
+
+
+def excess(score: float, length: int, law: tuple[float, float]) -> float:
+    """The score in units of the law's scale above what a harmless text of this length is expected to reach."""
+    return (score - law[1]) / law[0] - math.log(max(length, 1))
+
+
+def joint_surprise(scores: list[float], length: int, law: tuple[float, float]) -> float:
+    """Minus the natural log of the chance of the best passages of a text taken together.
+
+    The chance that the r best add up to an excess of T is about exp(-T) T^(r-1) / (r! (r-1)!) (Karlin and Altschul); the r that
+    is least likely counts, each further passage at the price of one half for the choice."""
+    if not scores:
+        return 0.0
+    ranked = sorted(scores, reverse=True)
+    best, total = surprise(ranked[0], length, law), 0.0
+    for r, s in enumerate(ranked, 1):
+        z = excess(s, length, law)
+        if z <= 0:
+            break
+        total += z
+        if r > 1:
+            best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2))
+    return best

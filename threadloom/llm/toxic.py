@@ -1,33 +1,39 @@
 """Abusive, hateful or sexual content (problem 2), by maximum-scoring segments.
 
-Words in context get log-odds with Dirichlet priors for each kind, from a reviewed sample against counts over the whole
-corpus. Every text is scanned in linear time for all its maximal scoring segments (Ruzzo-Tompa); the best segment of
-each kind is calibrated by an extreme-value law fitted on the texts reviewed as harmless, which takes the text's length into
-account. The sample is enlarged in a few rounds by corpus texts whose passages are beyond doubt.
-
-Bounds of the fit, all parameters: at most ``most_labelled`` reviewed texts and ``most_examples`` corpus texts are used,
-those with the lowest hash; counts, scores and reports cover all texts. Null and empty texts score 0. Repeated rows count
-once; a record with several texts has the highest score. Labels of records without a text are ignored. Without labels all
-scores are 0.
+Words in context get log-odds with Dirichlet priors for each kind against all other text, from a reviewed sample with the
+corpus's own word counts as the prior. Every text is scanned in linear time for all its maximal scoring segments
+(Ruzzo-Tompa). Each kind's segments are calibrated by an extreme-value law, fitted on held-out harmless texts, which takes
+the text's length into account; the passages of one text are then taken together by sum statistics.
+
+Labels are noisy, and most of a harmful text is harmless. The fit therefore runs in rounds over a few folds: models of
+the other folds find each text's passage and its surprise; a harmful label whose text holds no passage of that kind, and a
+harmless one whose text holds a passage beyond doubt, are left out of the next round, and only the passages count
+as evidence of their kind, the rest as harmless text. The laws come from the last round's held-out scores.
+
+The fit uses at most ``most_labelled`` reviewed texts, those with the lowest hash (a parameter); corpus counts, scores and reports
+cover all texts. Null and empty texts score 0. Repeated rows count once; a record with several texts has the highest
+score. Labels of records without a text are ignored. Without labels all scores are 0.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import cut
 from .lookalike import plain_rewriter
-from .segments import LogOdds, grams, gumbel, maximal_segments, surprise, tokens
+from .segments import LogOdds, Sample, before, excess, grams, gumbel, joint_surprise, surprise, tokens
 
 KINDS = ("abusive", "hateful", "sexual")
-THRESHOLD = 6.0
-SURE, MARGIN, ROUNDS = 9.0, 2.0, 2
+THRESHOLD = 15.0
+#: How surprising a reviewed text's own passage must be, round by round, for its harmful label to be kept.
+ROUNDS, FOLDS = (4.0, 8.0, 11.0), 4
 SCORES = "table_name string, record_id bigint, board string, abusive double, hateful double, sexual double, passage string"
 
 
@@ -46,116 +52,143 @@ def texts_of(posts: DataFrame, threads: DataFrame) -> DataFrame:
     return cut(one.select("table_name", "record_id", "board", split(F.coalesce("text", F.lit(""))).alias("words")))
 
 
-def labelled(texts: DataFrame, labels: DataFrame, most: int) -> list[tuple[str, list[str]]]:
-    """Label and words of reviewed texts, those with the lowest hash where there are more than ``most``."""
-    own = labels.where(F.col("label").isin("none", *KINDS)).groupBy(F.when(F.col("kind") == "t", "threads").otherwise("posts").alias("table_name"), F.col("item_id").alias("record_id")).agg(F.min("label").alias("label"))
-    rows = texts.join(own, ["table_name", "record_id"]).select("label", "words", F.xxhash64("table_name", "record_id").alias("h")).orderBy("h", "words").limit(most).collect()
-    return [(r.label, r.words.split()) for r in rows]
+def labelled(texts: DataFrame, labels: DataFrame, most: int) -> list[Sample]:
+    """Reviewed texts, of the ``most`` labels with the lowest hash. A record labelled in two ways has the least label."""
+    own = labels.where(F.col("label").isin("none", *KINDS) & F.col("item_id").isNotNull()).groupBy(F.when(F.col("kind") == "t", "threads").otherwise("posts").alias("table_name"), F.col("item_id").alias("record_id")).agg(F.min("label").alias("label"))
+    chosen = own.orderBy(F.xxhash64("table_name", "record_id"), "table_name", "record_id").limit(most)
+    rows = texts.join(F.broadcast(chosen), ["table_name", "record_id"]).select("table_name", "record_id", "label", "words").collect()
+    rows.sort(key=lambda r: (r.table_name, r.record_id, r.words))
+    return [Sample(r.label, r.words.split(), zlib.crc32(r.words.encode()) % FOLDS) for r in rows]
 
 
-def corpus_counts(texts: DataFrame, wanted: set[str]) -> tuple[dict[str, int], int]:
-    """Counts of the wanted runs of words over all texts, and the number of all words. Sized by the bounded sample."""
-    order = sorted(wanted)
-    held = texts.sparkSession.sparkContext.broadcast(order)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = {g: i for i, g in enumerate(held.value)}
-        got = np.zeros(len(index) + 1, np.int64)
-        for b in batches:
-            for line in b["words"]:
-                w = line.split()
-                got[-1] += len(w)
-                for g in grams(w):
-                    i = index.get(g)
-                    if i is not None:
-                        got[i] += 1
-        at = np.nonzero(got)[0]
-        yield pd.DataFrame({"i": at, "n": got[at]})
-
-    rows = texts.select("words").mapInPandas(count, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
-    total = int(rows.loc[rows["i"] == len(order), "n"].sum())
-    held.unpersist()
-    return {g: 0 for g in order} | {order[i]: int(n) for i, n in zip(rows["i"], rows["n"], strict=True) if i < len(order)}, total
+def corpus_counts(texts: DataFrame, sample: list[Sample]) -> tuple[dict[str, int], int]:
+    """Counts over all texts of the words of the bounded sample, and the number of all words."""
+    spark = texts.sparkSession
+    wanted = spark.createDataFrame(pd.DataFrame({"w": sorted({w for s in sample for w in s.words})}, dtype=object), "w string")
+    every = texts.select(F.explode(F.split("words", " ")).alias("w")).where(F.col("w") != "").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(every)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return {r.w: r.n for r in counts.join(F.broadcast(wanted), "w").collect()}, total
 
 
 class Judge:
     """A fitted model with the laws of its scores."""
 
-    def __init__(self, model: LogOdds, harmless: list[list[str]]) -> None:
-        self.model = model
-        best = [model.best(w) for w in harmless]
-        lengths = np.array([len(w) for w in harmless] or [1])
-        self.laws = [gumbel(np.array([b[i][2] for b in best]), lengths) for i in range(len(KINDS))] if harmless else [(1.0, 0.0)] * len(KINDS)
-
-    def __call__(self, words: list[str]) -> tuple[list[float], list[tuple[int, int, float]]]:
-        """How surprising the best passage of each kind is in a harmless text, and the passages."""
-        best = self.model.best(words)
-        return [surprise(b[2], len(words), law) if b[2] > 0 else 0.0 for b, law in zip(best, self.laws, strict=True)], best
-
-
-def fit(texts: DataFrame, labels: DataFrame, most_labelled: int = 50_000, most_examples: int = 20_000, rounds: int = ROUNDS) -> Judge:
+    def __init__(self, model: LogOdds, laws: list[tuple[float, float]]) -> None:
+        self.model, self.laws = model, laws
+
+    def passages(self, words: list[str]) -> list[list[tuple[int, int, float]]]:
+        return self.model.segments(words)
+
+    def __call__(self, words: list[str]) -> tuple[list[float], tuple[int, int]]:
+        """How surprising the passages of each kind are in a harmless text, and the best passage of the most surprising kind."""
+        found = self.passages(words)
+        s = [joint_surprise([x[2] for x in part], len(words), law) for part, law in zip(found, self.laws, strict=True)]
+        part = found[s.index(max(s))]
+        return s, max(part, key=lambda x: x[2])[:2] if part else (0, 0)
+
+
+def _counts(sample: list[Sample]) -> list[list[tuple[Counter, int]]]:
+    """For each fold: counts of runs and numbers of words, in harmless text and in passages of each kind.
+
+    Of harmless text single words count, and longer runs whose words or context occur in a harmful text: no other is ever looked up."""
+    held = {"", *(g for s in sample if s.label != "none" for g in grams(s.words))}
+    out = [[Counter() for _ in range(1 + len(KINDS))] for _ in range(FOLDS)]
+    masses = [[0] * (1 + len(KINDS)) for _ in range(FOLDS)]
+    for s in sample:
+        if not s.kept:
+            continue
+        mine, size = out[s.fold], masses[s.fold]
+        if s.label == "none":
+            mine[0].update(g for g in grams(s.words) if g in held or before(g) in held)
+            size[0] += len(s.words)
+            continue
+        k = 1 + KINDS.index(s.label)
+        mine[k].update(grams(s.words, s.begin, s.end))
+        mine[0].update(grams(s.words, 0, s.begin))
+        mine[0].update(grams(s.words, s.end))
+        size[k] += s.end - s.begin
+        size[0] += len(s.words) - s.end + s.begin
+    return [list(zip(c, m, strict=True)) for c, m in zip(out, masses, strict=True)]
+
+
+def _model(folds: list[list[tuple[Counter, int]]], corpus: dict[str, int], total: int) -> LogOdds:
+    counts, masses = [Counter() for _ in range(1 + len(KINDS))], [0] * (1 + len(KINDS))
+    for fold in folds:
+        for i, (c, m) in enumerate(fold):
+            counts[i].update(c)
+            masses[i] += m
+    return LogOdds(KINDS).fit(counts, masses, corpus, total)
+
+
+def fit(texts: DataFrame, labels: DataFrame, most_labelled: int = 40_000, rounds: tuple[float, ...] = ROUNDS) -> Judge:
     sample = labelled(texts, labels, most_labelled)
-    harmless = [w for label, w in sample if label == "none"]
-    reviewed = {k: [w for label, w in sample if label == k] for k in KINDS}
-    judge = _fit(texts, reviewed, harmless)
-    for _ in range(rounds if any(reviewed.values()) else 0):
-        more = sure_examples(texts, labels, judge, most_examples)
-        judge = _fit(texts, {k: reviewed[k] + more[k] for k in KINDS}, harmless)
-    return judge
-
+    flat = [(1.0, 0.0)] * len(KINDS)
+    if all(s.label == "none" for s in sample):
+        return Judge(LogOdds(KINDS), flat)
+    return fit_sample(sample, *corpus_counts(texts, sample), rounds)
+
+
+def fit_sample(sample: list[Sample], corpus: dict[str, int], total: int, rounds: tuple[float, ...] = ROUNDS) -> Judge:
+    laws: list[tuple[float, float]] = []
+    for least in rounds:
+        folds = _counts(sample)
+        models = [_model(folds[:f] + folds[f + 1 :], corpus, total) for f in range(FOLDS)]
+        best = [[max(part, key=lambda x: x[2], default=(0, 0, 0.0)) for part in models[s.fold].segments(s.words)] for s in sample]
+        harmless = [i for i, s in enumerate(sample) if s.label == "none"]
+        lengths = np.array([len(sample[i].words) for i in harmless])
+        laws = [gumbel(np.array([best[i][k][2] for i in harmless]), lengths) for k in range(len(KINDS))]
+        for s, own in zip(sample, best, strict=True):
+            seen = [surprise(x[2], len(s.words), law) if x[2] > 0 else 0.0 for x, law in zip(own, laws, strict=True)]
+            if s.label == "none":
+                s.kept = max(seen) < rounds[-1]
+            else:
+                k = KINDS.index(s.label)
+                s.kept = seen[k] > least and seen[k] == max(seen)
+                s.begin, s.end = own[k][:2]
+    return Judge(_model(_counts(sample), corpus, total), laws)
 
-def _fit(texts: DataFrame, examples: dict[str, list[list[str]]], harmless: list[list[str]]) -> Judge:
-    own = {k: Counter(g for w in examples[k] for g in grams(w)) for k in KINDS}
-    wanted = set().union(*own.values())
-    wanted |= {g for w in harmless for g in grams(w) if " " not in g or g.rpartition(" ")[0] in wanted}
-    counts, total = corpus_counts(texts, wanted)
-    return Judge(LogOdds(KINDS, own, counts, {k: sum(map(len, examples[k])) for k in KINDS}, total), harmless)
 
+def scores(posts: DataFrame, threads: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
+    """table_name, record_id, board, a score of each kind and the most harmful passage, for every text of every record.
 
-def sure_examples(texts: DataFrame, labels: DataFrame, judge: Judge, most: int) -> dict[str, list[list[str]]]:
-    """Texts nobody reviewed in which one kind's passage is beyond doubt."""
-    held = texts.sparkSession.sparkContext.broadcast(judge)
-    reviewed = labels.select(F.when(F.col("kind") == "t", "threads").otherwise("posts").alias("table_name"), F.col("item_id").alias("record_id")).distinct()
+    A score is minus the natural log of the chance that a harmless text of that length has such passages."""
+    texts = texts_of(posts, threads)
+    held = texts.sparkSession.sparkContext.broadcast(fit(texts, labels, **bounds))
 
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = held.value
         for b in batches:
             out = []
-            for table_name, record_id, line in zip(b["table_name"], b["record_id"], b["words"], strict=True):
-                s, _ = own(line.split())
-                first, second = sorted(s, reverse=True)[:2]
-                if first >= SURE and second < first - MARGIN:
-                    out.append((table_name, record_id, KINDS[s.index(first)], line))
-            yield pd.DataFrame(out, columns=["table_name", "record_id", "kind", "words"])
+            for line in b["words"]:
+                w = line.split()
+                s, (begin, end) = own(w)
+                out.append((*(round(x, 4) for x in s), " ".join(w[begin:end])))
+            yield pd.concat([b[["table_name", "record_id", "board"]], pd.DataFrame(out, columns=[*KINDS, "passage"], index=b.index)], axis=1)
 
-    sure = texts.select("table_name", "record_id", "words").mapInPandas(pick, "table_name string, record_id bigint, kind string, words string")
-    rows = sure.join(reviewed, ["table_name", "record_id"], "left_anti").withColumn("h", F.xxhash64("table_name", "record_id")).orderBy("h", "words").limit(most).collect()
-    out: dict[str, list[list[str]]] = {k: [] for k in KINDS}
-    for r in rows:
-        out[r.kind].append(r.words.split())
-    return out
+    return texts.mapInPandas(run, SCORES)
 
 
-def scores(posts: DataFrame, threads: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
-    """table_name, record_id, board, a score of each kind and the most harmful passage, for every text of every record.
+def passages(posts: DataFrame, threads: DataFrame, labels: DataFrame, least: float = 5.0, **bounds) -> DataFrame:
+    """table_name, record_id, harm, nth, passage, surprise: every maximal scoring passage of every text that is surprising in itself.
 
-    A score is minus the natural log of the chance that a harmless text of that length has such a passage."""
+    nth numbers the passages of one kind of a record, in the order of its texts and words; a passage's surprise counts it alone."""
     texts = texts_of(posts, threads)
-    judge = fit(texts, labels, **bounds)
-    held = texts.sparkSession.sparkContext.broadcast(judge)
+    held = texts.sparkSession.sparkContext.broadcast(fit(texts, labels, **bounds))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = held.value
         for b in batches:
             out = []
-            for line in b["words"]:
+            for table_name, record_id, line in zip(b["table_name"], b["record_id"], b["words"], strict=True):
                 w = line.split()
-                s, best = own(w)
-                i = s.index(max(s))
-                out.append((*(round(x, 4) for x in s), " ".join(w[best[i][0] : best[i][1]])))
-            yield pd.concat([b[["table_name", "record_id", "board"]], pd.DataFrame(out, columns=[*KINDS, "passage"], index=b.index)], axis=1)
+                for kind, part, law in zip(KINDS, own.passages(w), own.laws, strict=True):
+                    out += [(table_name, record_id, kind, line, begin, " ".join(w[begin:end]), round(excess(s, len(w), law), 4)) for begin, end, s in part if excess(s, len(w), law) >= least]
+            yield pd.DataFrame(out, columns=["table_name", "record_id", "harm", "words", "begin", "passage", "surprise"])
 
-    return texts.mapInPandas(run, SCORES)
+    rows = texts.mapInPandas(run, "table_name string, record_id bigint, harm string, words string, begin bigint, passage string, surprise double")
+    place = Window.partitionBy("table_name", "record_id", "harm").orderBy("words", "begin")
+    return rows.select("table_name", "record_id", "harm", F.row_number().over(place).cast("bigint").alias("nth"), "passage", "surprise")
 
 
 def harm(threshold: float = THRESHOLD):
@@ -175,9 +208,3 @@ def rates(posts: DataFrame, threads: DataFrame, labels: DataFrame, threshold: fl
     judged = scores(posts, threads, labels).withColumn("harm", harm(threshold)).groupBy("table_name", "record_id").agg(F.min("board").alias("board"), F.max_by("harm", F.greatest(*KINDS)).alias("harm"))
     counts = [F.count_if(F.col("harm") == k).alias(f"n_{k}") for k in KINDS]
     return judged.groupBy("table_name", "board").agg(F.count(F.lit(1)).alias("n_records"), *counts).withColumn("harm_rate", F.round(sum((F.col(f"n_{k}") for k in KINDS), F.lit(0)) / F.col("n_records"), 6))
-
-
-def passages(words: list[str], judge: Judge) -> list[tuple[str, str, float]]:
-    """Every maximal scoring passage of a text by kind, with its own score."""
-    rows = judge.model.scores(words)
-    return [(k, " ".join(words[b:e]), s) for i, k in enumerate(KINDS) for b, e, s in maximal_segments([r[i] for r in rows])]
