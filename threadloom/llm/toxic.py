@@ -8,7 +8,7 @@ the text's length into account; the passages of one text are then taken together
 Labels are noisy, and most of a harmful text is harmless. The fit therefore runs in rounds over a few folds: models of
 the other folds find each text's passage and its surprise; a harmful label whose text holds no passage of that kind, and a
 harmless one whose text holds a passage beyond doubt, are left out of the next round, and only the passages count
-as evidence of their kind, the rest as harmless text. The laws come from the last round's held-out scores.
+as evidence of their kind; the rest of such a text counts as nothing, lest a passage found short be kept short. The laws come from the last round's held-out scores.
 
 The fit uses at most ``most_labelled`` reviewed texts, those with the lowest hash (a parameter); corpus counts, scores and reports
 cover all texts. Null and empty texts score 0. Repeated rows count once; a record with several texts has the highest
@@ -31,7 +31,7 @@ from .lookalike import plain_rewriter
 from .segments import LogOdds, Sample, before, excess, grams, gumbel, joint_surprise, surprise, tokens
 
 KINDS = ("abusive", "hateful", "sexual")
-THRESHOLD = 15.0
+THRESHOLD = 16.0
 #: How surprising a reviewed text's own passage must be, round by round, for its harmful label to be kept.
 ROUNDS, FOLDS = (4.0, 8.0, 11.0), 4
 SCORES = "table_name string, record_id bigint, board string, abusive double, hateful double, sexual double, passage string"
@@ -105,10 +105,7 @@ def _counts(sample: list[Sample]) -> list[list[tuple[Counter, int]]]:
             continue
         k = 1 + KINDS.index(s.label)
         mine[k].update(grams(s.words, s.begin, s.end))
-        mine[0].update(grams(s.words, 0, s.begin))
-        mine[0].update(grams(s.words, s.end))
         size[k] += s.end - s.begin
-        size[0] += len(s.words) - s.end + s.begin
     return [list(zip(c, m, strict=True)) for c, m in zip(out, masses, strict=True)]
 
 
