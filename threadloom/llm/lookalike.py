@@ -4,7 +4,8 @@ Look-alike classes are the transitive closure, by union-find, over code points a
 full-width and font forms, ligatures, blanks, invisible characters (the class of the empty string) and combining sequences
 with their composed letters. The representative of a class is its most frequent member in the corpus (a string counts as
 its rarest code point; ties go to the shorter, then the smaller one). Texts are rewritten by one automaton over all members,
-leftmost-longest, pass after pass until nothing changes, for a rewritten base letter may form a new combining sequence.
+leftmost-longest, pass after pass until nothing changes, for a rewritten base letter may form a new combining sequence. Should
+passes ever lead back to an earlier form, the smallest form of that round is taken, so that the end is the same from each of them.
 
 Nulls stay null and match nothing. Empty texts and texts of invisible characters alone look alike. Line ends are blanks.
 Repeated rows count once.
@@ -13,6 +14,7 @@ Repeated rows count once.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -109,7 +111,12 @@ def char_counts(texts: DataFrame, columns: list[str]) -> dict[str, int]:
 
 
 class Rewriter:
-    """Rewrites texts by a table; picklable, the automaton is built where it is used."""
+    """Rewrites texts by a table; picklable, the automaton is built where it is used.
+
+    The automaton reads only the stretches that can hold a member: runs of characters that tell a member, with one other character
+    between or beside them, such as the base letter of a combining sequence. What a stretch becomes is remembered."""
+
+    MOST_KNOWN = 50_000
 
     def __init__(self, table: dict[str, str]) -> None:
         self.table, self.machine = table, None
@@ -117,33 +124,59 @@ class Rewriter:
     def __getstate__(self) -> dict:
         return {"table": self.table, "machine": None}
 
-    def build(self):
+    def build(self) -> None:
         import ahocorasick
 
         self.machine = ahocorasick.Automaton()
+        telling: set[str] = set()
         for form, plain in self.table.items():
             self.machine.add_word(form, (len(form), plain))
+            rare = [i for i, c in enumerate(form) if not c.isascii()]
+            if len(form) > 1 and all(map(unicodedata.combining, form[1:])):
+                telling.update(form[1:])
+            elif rare and all(b - a <= 2 for a, b in zip([-1, *rare], [*rare, len(form)])):
+                telling.update(form[i] for i in rare)
+            else:
+                telling.update(form)
         self.machine.make_automaton()
-        return self.machine
+        own = "".join(re.escape(c) for c in sorted(telling) if ord(c) < 0x10000)
+        beyond = "\U00010000-\U0010ffff" if any(ord(c) > 0xFFFF for c in telling) else ""  # sets beyond the first plane are slow to search
+        self.stretch = re.compile(f"(?s).?[{own}{beyond}]+(?:.[{own}{beyond}]+)*.?") if telling else re.compile(r"(?!)")
+        self.known: dict[str, str] = {}
 
     def once(self, text: str) -> str:
-        machine = self.machine or self.build()
-        out, at = [], 0
-        for end, (length, plain) in machine.iter_long(text):
-            out.append(text[at : end + 1 - length])
-            out.append(plain)
-            at = end + 1
-        return "".join(out) + text[at:] if out else text
+        if self.machine is None:
+            self.build()
+        return self.stretch.sub(self._stretch, text)
+
+    def _stretch(self, found: re.Match) -> str:
+        text = found[0]
+        known = self.known.get(text)
+        if known is None:
+            out, at = [], 0
+            for end, (length, plain) in self.machine.iter_long(text):
+                out += (text[at : end + 1 - length], plain)
+                at = end + 1
+            known = "".join(out) + text[at:]
+            if len(self.known) >= self.MOST_KNOWN:
+                self.known.clear()
+            self.known[text] = known
+        return known
 
     def __call__(self, text: str | None) -> str | None:
         if text is None:
             return None
-        for _ in range(8):
-            new = unicodedata.normalize("NFC", self.once(text)) if not text.isascii() else self.once(text)
+        passed = [text]
+        while True:
+            new = self.once(text)
+            if not new.isascii():
+                new = unicodedata.normalize("NFC", new)
             if new == text:
-                break
+                return text
+            if new in passed:
+                return min(passed[passed.index(new) :])
+            passed.append(new)
             text = new
-        return text
 
 
 def rewriter(texts: DataFrame, columns: list[str]) -> Rewriter:
@@ -173,7 +206,7 @@ def _variants(texts: DataFrame, rewrite: Rewriter) -> DataFrame:
     """key, va (hash pairs of form and text), n: the distinct texts of each form that has several."""
     apply = udf_of(rewrite)
     distinct = texts.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
-    formed = distinct.withColumn("form", apply("text")).select(_hash("form").alias("key"), _hash("text").alias("v"), "n")
+    formed = cut(distinct.withColumn("form", apply("text")).select(_hash("form").alias("key"), _hash("text").alias("v"), "n"))
     several = formed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
     return formed.join(several, "key", "left_semi")
 
@@ -193,7 +226,7 @@ def pairs(texts: DataFrame, rewrite: Rewriter) -> DataFrame:
     size = variants.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     join = functools.partial(skew_join, least=HOT) if size.n >= HOT else lambda left, right, on: left.join(right, on)
     a, b = variants.select("key", F.col("v").alias("va"), F.col("n").alias("na")), variants.select("key", F.col("v").alias("vb"), F.col("n").alias("nb"))
-    linked = a.join(b, "key").where((F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("va") > F.col("vb")))).select("va", "vb")
+    linked = join(a, b, ["key"]).where((F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("va") > F.col("vb")))).select("va", "vb")
     members = cut(texts.select("id", _hash("text").alias("v")).join(variants.select("v"), "v", "left_semi"))
     first = join(members.select(F.col("id").alias("i"), F.col("v").alias("va")), linked, ["va"]).select("i", "vb")
     both = join(first, members.select(F.col("id").alias("j"), F.col("v").alias("vb")), ["vb"])
