@@ -298,7 +298,7 @@ def test_joint_surprise_counts_several_passages():
 
 
 # ---- subjects --------------------------------------------------------------------------------------------------------
-def test_subjects(spark):
+def test_subjects(spark, monkeypatch):
     rng = random.Random(9)
     vocab = {f"{'ab'[n % 2]}/{g}": [f"{g}{i}" for i in "uvwxyz"] for n, g in enumerate("alpha beta gamma delta omega sigma kappa theta".split())}
     say = lambda c: f"I like the {rng.choice(vocab[c])} more than the {rng.choice(vocab[c])}."
@@ -322,6 +322,11 @@ def test_subjects(spark):
         got.setdefault(r.thread_id, set()).add(r.category_id)
     right = sum(got.get(i, set()) == t for i, t in truth.items())
     assert right >= 0.95 * len(truth) and 500 not in got and 501 not in got
+    # the leaves decide: with nothing known of them, no text has the subjects it has
+    with monkeypatch.context() as m:
+        m.setattr(subjects, "mixtures", lambda centres, terms: np.full((len(centres), len(leaves)), 1 / len(leaves)))
+        blind = {(r.thread_id, r.category_id) for r in subjects.found(th, lab, tax, ex).collect()}
+    assert len(blind & {(i, c) for i, cs in got.items() for c in cs}) < 0.2 * sum(map(len, got.values()))
     assert subjects.found(th.limit(0), lab, tax, ex).count() == 0 and subjects.found(th, lab.limit(0), tax.limit(0), ex).count() == 0
 
 
@@ -337,4 +342,3 @@ def test_rare_terms_count_whatever_the_number_of_frequent_ones(spark):
 
 def test_tables_are_small_and_plain():
     assert all(len(a) == len(b) for a, b in glyphs.LETTERS) and sum(len(a) for a, _ in glyphs.LETTERS) < 200
-    assert isinstance(pd.DataFrame(), pd.DataFrame)

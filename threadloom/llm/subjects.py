@@ -1,11 +1,13 @@
-"""Subject area of each document (problem 5), by bisecting k-means over sentence vectors and leaf mixtures.
+"""Subject area of each document (problem 5), by bisecting k-means over document vectors and leaf mixtures.
 
 Terms (words and pairs of words) are weighted by how unevenly they are spread over the leaf categories of the taxonomy, in clean
-examples and in noisy labels; terms of every subject alike weigh nothing. Each sentence of a title or opening message becomes a
-normalised vector over those terms. Equal vectors are counted once, with their number as weight, and clustered by bisecting
-k-means. A cluster leaf is labelled by its discriminative terms: its mixture of categories is that of its centre's terms.
-A text's subjects come from the mixtures of the leaves its sentences fall into: the main subject, and every other that
-has more than one passing sentence. A title counts where the message agrees with it or has no subject of its own.
+examples and in noisy labels; terms of every subject alike weigh nothing. Each text, title and opening message, becomes
+a normalised vector over those terms, and all vectors are clustered by bisecting k-means. A cluster leaf is labelled by its
+discriminative terms: its mixture of categories is that of the terms in which its centre stands out against the mean. Each sentence of
+a text falls into the leaves whose centres are like it, in proportion to a power of the likeness, and brings their mixtures;
+what categories a term speaks for enters by the leaves alone. A text's subjects are read off the sum over its sentences: the main
+subject, and every other that has more than one passing sentence. A title counts where the message agrees with it or has no
+subject of its own.
 
 Null and empty texts have no subject. Repeated rows count once; of several texts of a thread the smallest is taken. Labels
 are compared trimmed and in lower case; ids that are no leaf of the taxonomy are ignored. Without terms there are no subjects.
@@ -26,8 +28,8 @@ from ..plans import cut
 from .leakage import MARKUP
 from .lookalike import plain_rewriter
 
-#: Leaves for each category; every term with so many texts and that weight counts.
-LEAVES_EACH, LEAST_TERM, LEAST_WEIGHT, SMOOTHING = 4, 6, 0.42, 3.0
+#: Leaves for each category; every term with so many texts and that weight counts; the power of the likeness of a sentence and a leaf.
+LEAVES_EACH, LEAST_TERM, LEAST_WEIGHT, SMOOTHING, SHARPNESS = 4, 6, 0.42, 3.0, 2.0
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+|<br\s*/?>|</p>|\[/quote\]", re.I)
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 #: Openings of a sentence that adds something beside the subject.
@@ -100,29 +102,27 @@ def term_table(texts: DataFrame, labels: DataFrame, examples: DataFrame, leaves:
 
 
 def vectors(texts: DataFrame, terms: pd.DataFrame) -> DataFrame:
-    """thread_id, part (0 title, 1 message), nth, at (term numbers) of each sentence; without terms the array is empty."""
+    """thread_id, title, message: the term numbers of each of their sentences, in order."""
     rewrite = plain_rewriter()
-    index = {t: i for i, t in enumerate(terms["term"])}
+    held = texts.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms["term"])})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = held.value.get
+        numbers = lambda text: [sorted({i for t in s if (i := get(t)) is not None}) for s in sentences(text, rewrite)]
         for b in batches:
-            rows = []
-            for i, title, message in zip(b["thread_id"], b["title"], b["message"], strict=True):
-                for part, text in enumerate((title, message)):
-                    for nth, s in enumerate(sentences(text, rewrite)):
-                        rows.append((i, part, nth, sorted({index[t] for t in s if t in index})))
-            yield pd.DataFrame(rows, columns=["thread_id", "part", "nth", "at"])
+            yield pd.DataFrame({"thread_id": b["thread_id"], "title": b["title"].map(numbers), "message": b["message"].map(numbers)})
 
-    return texts.mapInPandas(run, "thread_id bigint, part int, nth int, at array<int>")
+    return texts.mapInPandas(run, "thread_id bigint, title array<array<int>>, message array<array<int>>")
 
 
 def cluster(points: DataFrame, terms: pd.DataFrame, leaves: int, seed: int = 11) -> np.ndarray:
-    """Centres of the leaves of bisecting k-means over all distinct sentence vectors, weighted by their numbers."""
+    """Centres of the leaves of bisecting k-means over all document vectors; equal ones are counted once, with their number as weight."""
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
 
-    distinct = points.where(F.size("at") > 0).groupBy("at").agg(F.count(F.lit(1)).cast("double").alias("w")).withColumn("names", F.col("at").cast("array<string>"))
+    at = F.array_sort(F.flatten(F.concat("title", "message")))
+    distinct = points.select(at.alias("at")).where(F.size("at") > 0).groupBy("at").agg(F.count(F.lit(1)).cast("double").alias("w")).withColumn("names", F.col("at").cast("array<string>"))
     counted = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(terms))], inputCol="names", outputCol="counts").transform(distinct)
     scaled = ElementwiseProduct(scalingVec=Vectors.dense(terms["weight"].to_list()), inputCol="counts", outputCol="scaled").transform(counted)
     data = cut(Normalizer(inputCol="scaled", outputCol="features").transform(scaled).select("w", "features"))
@@ -149,46 +149,44 @@ def decide(title: np.ndarray, message: list[np.ndarray], floor: float = 1.5, par
     return [main, *(int(c) for c in np.nonzero((total >= floor) & (total >= part * total.sum()))[0] if c != main)]
 
 
-def sentence_mixtures(points: DataFrame, terms: pd.DataFrame, centres: np.ndarray, mix: np.ndarray, leaves: list[str], least: float = 0.0) -> DataFrame:
-    """thread_id, category_id, share: the subjects of each text, from the leaves its sentences fall into."""
-    weight = terms["weight"].to_numpy()
-    half = (centres**2).sum(1) / 2
-    spread = np.stack(terms["p"].to_list())
+class LeafReader:
+    """The mixture that a sentence brings: those of the leaves like it."""
+
+    def __init__(self, weight: np.ndarray, centres: np.ndarray, mix: np.ndarray) -> None:
+        self.weight, self.mix = weight, mix
+        self.by_term = np.ascontiguousarray(centres.T)
+        self.known: dict[tuple, np.ndarray] = {}
+
+    def __call__(self, at) -> np.ndarray:
+        key = tuple(at)
+        got = self.known.get(key)
+        if got is None:
+            v = self.weight[list(key)]
+            like = np.maximum(v @ self.by_term[list(key)], 0) ** SHARPNESS
+            got = like @ self.mix
+            got = got / max(got.sum(), 1e-12)
+            if len(self.known) >= 100_000:
+                self.known.clear()
+            self.known[key] = got
+        return got
+
 
-    def of(at: np.ndarray) -> np.ndarray:
-        v = weight[at] / np.linalg.norm(weight[at])
-        near = centres[:, at] @ v - half
-        leaf = mix[near.argmax()]
-        own = spread[at].prod(0) ** (1 / len(at)) if len(at) else leaf
-        joint = leaf * (own + 1e-4)
-        return joint / joint.sum()
+def leaf_subjects(points: DataFrame, terms: pd.DataFrame, centres: np.ndarray, mix: np.ndarray, leaves: list[str]) -> DataFrame:
+    """thread_id, category_id, share: the subjects of each text, from the mixtures of the leaves its sentences fall into."""
+    held = points.sparkSession.sparkContext.broadcast((terms["weight"].to_numpy(), centres, mix))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple, np.ndarray] = {}
+        read = LeafReader(*held.value)
         for b in batches:
             rows = []
             for i, title, message in zip(b["thread_id"], b["title"], b["message"], strict=True):
-                got: list[list[np.ndarray]] = [[], []]
-                for part, sents in enumerate((title, message)):
-                    for at in sents:
-                        if len(at):
-                            key = tuple(at)
-                            if key not in known:
-                                known[key] = of(np.asarray(at))
-                                if len(known) > 100_000:
-                                    known.clear()
-                                    known[key] = of(np.asarray(at))
-                            got[part].append(known[key])
-                head = np.sum(got[0], axis=0) if got[0] else np.zeros(len(leaves))
-                total = np.sum([head, *got[1]], axis=0)
-                rows += [(i, leaves[c], round(float(total[c] / max(total.sum(), 1e-9)), 4)) for c in decide(head, got[1])]
+                head = np.sum([np.zeros(len(leaves)), *(read(at) for at in title if len(at))], axis=0)
+                parts = [read(at) for at in message if len(at)]
+                total = np.sum([head, *parts], axis=0)
+                rows += [(i, leaves[c], round(float(total[c] / max(total.sum(), 1e-9)), 4)) for c in decide(head, parts)]
             yield pd.DataFrame(rows, columns=["thread_id", "category_id", "share"])
 
-    of_text = points.groupBy("thread_id").agg(
-        F.transform(F.filter(F.sort_array(F.collect_list(F.struct("part", "nth", "at"))), lambda x: x["part"] == 0), lambda x: x["at"]).alias("title"),
-        F.transform(F.filter(F.sort_array(F.collect_list(F.struct("part", "nth", "at"))), lambda x: x["part"] == 1), lambda x: x["at"]).alias("message"),
-    )
-    return of_text.mapInPandas(run, "thread_id bigint, category_id string, share double")
+    return points.mapInPandas(run, "thread_id bigint, category_id string, share double")
 
 
 def subjects(threads: DataFrame, labels: DataFrame, taxonomy: DataFrame, examples: DataFrame) -> DataFrame:
@@ -199,10 +197,10 @@ def subjects(threads: DataFrame, labels: DataFrame, taxonomy: DataFrame, example
     if not len(terms):
         return threads.sparkSession.createDataFrame([], "thread_id bigint, category_id string, share double")
     points = cut(vectors(texts, terms))
-    if points.where(F.size("at") > 0).limit(1).count() == 0:
+    if points.where(F.exists(F.concat("title", "message"), lambda s: F.size(s) > 0)).limit(1).count() == 0:
         return threads.sparkSession.createDataFrame([], "thread_id bigint, category_id string, share double")
     centres = cluster(points, terms, LEAVES_EACH * len(leaves))
-    return sentence_mixtures(points, terms, centres, mixtures(centres, terms), leaves)
+    return leaf_subjects(points, terms, centres, mixtures(centres, terms), leaves)
 
 
 def found(threads: DataFrame, labels: DataFrame, taxonomy: DataFrame, examples: DataFrame) -> DataFrame:
