@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,50 @@ def visible_text(c: Column | str) -> Column:
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def named_entities() -> dict[str, str]:
+    """The named entities of HTML 4 and ``apos``; taken from the standard library."""
+    return {n: chr(c) for n, c in sorted(name2codepoint.items())} | {"apos": "'"}
+
+
+def _code_point(n: Column) -> Column:
+    """The character of a code point; U+FFFD where there is none."""
+    known = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(known, n).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+
+
+def unescaped(c: Column | str) -> Column:
+    """Text with its named, decimal and hexadecimal entities decoded once, from left to right; what is none stays. Null stays null."""
+    col = F.col(c) if isinstance(c, str) else c
+    names = F.create_map(*[F.lit(x) for pair in named_entities().items() for x in pair])
+
+    def piece(p: Column) -> Column:
+        body = F.regexp_extract(p, r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        number = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10)).when(body.startswith("#"), F.substring(body, 2, 9)).cast("bigint")
+        plain = F.when(number.isNotNull(), _code_point(number)).when(body != "", F.try_element_at(names, body))
+        return F.when(plain.isNotNull(), F.concat(plain, F.substr(p, F.length(body) + 2))).otherwise(F.concat(F.lit("&"), p))
+
+    parts = F.split(col, "&", -1)
+    decoded = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece), ""))
+    return F.when(col.contains("&"), decoded).otherwise(col)
+
+
+def plain_text(c: Column | str) -> Column:
+    """Text as a reader sees it: tags dropped, all entities decoded, blanks of every kind (the hard one too) as one, none at the ends."""
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(F.col(c) if isinstance(c, str) else c, "<[^>]*>", " ")), r"[\s\u00a0]+", " "))
+
+
+def clean_text(c: Column | str, limit: int) -> Column:
+    """Plain text of at most ``limit`` characters, for the prompt of a model."""
+    return F.substring(plain_text(c), 1, limit)
+
+
+def release_title(version: Column | str, day: Column | str) -> Column:
+    """``version+yyyymmdd`` of a release's version and the date of its watermark; null where that is no valid title."""
+    title = F.concat(F.col(version) if isinstance(version, str) else version, F.lit("+"), F.date_format(day, "yyyyMMdd"))
+    return F.when(valid_release_title(title), title)
+
+
 def collapsed(c: Column | str) -> Column:
     """Runs of blanks as one blank, none at the ends."""
     return F.trim(F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"\s+", " "))

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans import skew_join
 
-# Words that make a short reply a mere acknowledgement, and the shape of a bare link.
+# Words that make a short reply a mere acknowledgement, the shapes of a bare link and of a quote.
 ACKNOWLEDGEMENTS = "lol lmao rofl haha yes yep yeah no nah ok okay thanks cheers same agreed true based nice cool wow bump this".split()
 LINK = r"(?i)^((https?://|www\.)\S+|\S+\.(com|net|org|co|io|gg|tv|uk|me|edu|gov)(/\S*)?)$"
 QUOTE = r"(?is)\[quote[^\]]*\].*?\[/quote\]|<blockquote\b.*?</blockquote>"
@@ -149,3 +150,97 @@ def classify(items: DataFrame, model: Callable[[list[dict]], list[tuple[int, str
             yield pd.DataFrame([(i, c if p >= LEAST_CONFIDENCE else default, p) for i, c, p in out], columns=["thread_id", "category_id", "confidence"])
 
     return items.select("thread_id", "title", "message").mapInPandas(run, "thread_id bigint, category_id string, confidence double")
+
+
+def refinement_hash(*parts: Column) -> Column:
+    """The key of a refined decision: a hash of all that it was made from."""
+    return X.digest(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+
+
+def resolve_ids(names: DataFrame, taxonomy: DataFrame, name: str = "name") -> DataFrame:
+    """``names`` with category_id: the taxonomy entry of that id or, failing that, of that label; case and outer blanks do not matter.
+    Of several entries with one label the smallest id counts; what is neither gets null."""
+    key = F.lower(F.trim(name))
+    ids = taxonomy.where("category_id IS NOT NULL").select(F.lower(F.trim("category_id")).alias("_key"), F.struct(F.lit(0).alias("r"), "category_id").alias("_x"))
+    labels = taxonomy.where("category_id IS NOT NULL AND name IS NOT NULL").select(F.lower(F.trim(taxonomy["name"])).alias("_key"), F.struct(F.lit(1).alias("r"), "category_id").alias("_x"))
+    known = ids.unionByName(labels).groupBy("_key").agg(F.min("_x").alias("_x"))
+    return names.withColumn("_key", key).join(known, "_key", "left").withColumn("category_id", F.col("_x.category_id")).drop("_key", "_x")
+
+
+def override(current: DataFrame, changes: DataFrame, key: str = "thread_id") -> DataFrame:
+    """Manual categories (key, category_id, updated_at) after a batch of changes (key, category_id, at): the last change of a key
+    counts (ties: the largest id), a null category gives the key back to its inherited one. Keys without a change stay."""
+    last = changes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct("at", F.coalesce("category_id", F.lit("")).alias("c"))).alias("x"))
+    kept = current.join(last.select(key), key, "left_anti").select(key, "category_id", "updated_at")
+    return kept.unionByName(last.where("x.c <> ''").select(key, F.lower(F.trim("x.c")).alias("category_id"), F.col("x.at").alias("updated_at")))
+
+
+def submit_reviews(outbox: DataFrame, submitted: DataFrame) -> DataFrame:
+    """The outbox (thread_id, category_id, submitted_at) with new reviews: the last write of a thread wins."""
+    both = outbox.select("thread_id", "category_id", "submitted_at").unionByName(submitted.select("thread_id", "category_id", "submitted_at"))
+    return both.where("thread_id IS NOT NULL").groupBy("thread_id").agg(F.max(F.struct("submitted_at", "category_id")).alias("x")).select("thread_id", "x.category_id", "x.submitted_at")
+
+
+def acknowledge(outbox: DataFrame, taken: DataFrame) -> DataFrame:
+    """The outbox without the reviews that were taken over (thread_id, submitted_at); a later review of the same thread stays."""
+    done = taken.groupBy("thread_id").agg(F.max("submitted_at").alias("_done"))
+    return outbox.join(done, "thread_id", "left").where(F.col("_done").isNull() | (F.col("submitted_at") > F.col("_done"))).drop("_done")
+
+
+def with_context(posts: DataFrame, threads: DataFrame) -> DataFrame:
+    """post_id, thread_id, parent_id, message, thread_title, thread_message, parent_message, parent_author of every reply whose thread is
+    there; the parent's are null where there is none. Of several deliveries of a row the smallest texts count."""
+    p = posts.where("id IS NOT NULL").groupBy(F.col("id").alias("post_id")).agg(F.min("thread_id").alias("thread_id"), F.min(F.when(F.col("parent_id") != 0, F.col("parent_id"))).alias("parent_id"), F.min("message").alias("message"), F.min("author").alias("author"))
+    t = threads.where("id IS NOT NULL").groupBy(F.col("id").alias("thread_id")).agg(F.min("title").alias("thread_title"), F.min("message").alias("thread_message"))
+    above = p.select(F.col("post_id").alias("parent_id"), F.col("message").alias("parent_message"), F.col("author").alias("parent_author"))
+    return skew_join(skew_join(p, t, ["thread_id"]), above, ["parent_id"], "left").select("post_id", "thread_id", "parent_id", "message", "thread_title", "thread_message", "parent_message", "parent_author")
+
+
+def refinement_candidates(context: DataFrame, thread_labels: DataFrame, decisions: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """``context`` rows with thread_category_id and decision, for replies that rules did not settle; with ``wanted`` only those
+    whose decision is one of these."""
+    labels = latest_labels(thread_labels, "thread_id").select("thread_id", F.col("category_id").alias("thread_category_id"))
+    d = decisions.select("post_id", "decision")
+    return skew_join(context.join(d.where(F.col("decision").isin(*wanted)) if wanted is not None else d, "post_id"), labels, ["thread_id"])
+
+
+def reuse(items: DataFrame, decisions: DataFrame, refinements: DataFrame, manual: DataFrame, default: str = "unsorted") -> DataFrame:
+    """post_id, category_id, origin of every item (post_id, content_hash, context_hash, thread_category_id): a manual label; a refinement
+    made from both hashes; a decision made from both; else the thread's category, and the item is to be decided ('pending').
+
+    decisions and refinements: post_id, category_id, content_hash, context_hash; one row for each post."""
+    made = lambda df, name: df.select("post_id", "content_hash", "context_hash", F.lower(F.trim("category_id")).alias(name))
+    own = manual.where("post_id IS NOT NULL").groupBy("post_id").agg(F.min(F.lower(F.trim("category_id"))).alias("m"))
+    hashes = ["post_id", "content_hash", "context_hash"]
+    j = items.join(own, "post_id", "left").join(made(refinements, "r"), hashes, "left").join(made(decisions, "d"), hashes, "left")
+    origin = F.when(F.col("m").isNotNull(), "manual").when(F.col("r").isNotNull(), "refined").when(F.col("d").isNotNull(), "reused").otherwise("pending")
+    return j.select("post_id", F.coalesce("m", "r", "d", "thread_category_id", F.lit(default)).alias("category_id"), origin.alias("origin"))
+
+
+def work_queue(items: DataFrame, attempts: DataFrame, limit: int, priority: str | None = None) -> DataFrame:
+    """The next ``limit`` items to work on: what failed before comes first, then by ``priority`` (a column, smallest first) if
+    given, then by thread_id. attempts: thread_id, failed, complete; complete items are left out."""
+    a = attempts.groupBy("thread_id").agg(F.max("failed").alias("failed"), F.max("complete").alias("complete"))
+    left = items.join(a, "thread_id", "left").where(~F.coalesce("complete", F.lit(False))).withColumn("failed", F.coalesce("failed", F.lit(False))).drop("complete")
+    return left.orderBy(F.desc("failed"), *([F.asc(priority)] if priority else []), F.asc("thread_id")).limit(limit)
+
+
+def latest_version(labels: DataFrame, column: str = "taxonomy_version") -> DataFrame:
+    """version: the greatest, 0 where there is none."""
+    return labels.agg(F.coalesce(F.max(column), F.lit(0)).cast("bigint").alias("version"))
+
+
+def publish_faults(published: DataFrame, posts: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """fault, n: what forbids publishing (post_id, category_id): posts without a category, categories of unknown posts, repeated posts
+    and ids that are not in the taxonomy. Empty where all is well."""
+    ids = posts.where("id IS NOT NULL").select(F.col("id").alias("post_id")).distinct()
+    known = taxonomy.select(F.lower(F.trim("category_id")).alias("category_id")).distinct()
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("fault"), "n")
+    parts = [
+        count(ids.join(published, "post_id", "left_anti"), "uncovered"), count(published.join(ids, "post_id", "left_anti"), "unknown post"),
+        count(published.groupBy("post_id").count().where("count > 1"), "repeated"), count(published.withColumn("category_id", F.lower(F.trim("category_id"))).join(known, "category_id", "left_anti"), "unknown category"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("n > 0")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans import cut
-from .hierarchy import descendants, hierarchy
+from .hierarchy import below, descendants, hierarchy
 
 
 def blocked_keys(names: list[str] | tuple[str, ...]) -> list[str]:
@@ -47,7 +47,7 @@ def child_counts(docs: DataFrame) -> DataFrame:
 
 def descendant_counts(docs: DataFrame) -> DataFrame:
     """post_id, n_descendants of every reply that has replies."""
-    return descendants(docs.where("kind = 'r'"), "post_id", "parent_post_id").groupBy(F.col("ancestor_id").alias("post_id")).agg(F.count(F.lit(1)).alias("n_descendants"))
+    return below(docs.where("kind = 'r'"), "post_id", "parent_post_id").select(F.col("id").alias("post_id"), F.col("below").alias("n_descendants"))
 
 
 def branches(docs: DataFrame, me: str, blocked: list[str] | tuple[str, ...] = ()) -> DataFrame:
@@ -61,9 +61,9 @@ def branches(docs: DataFrame, me: str, blocked: list[str] | tuple[str, ...] = ()
     mine = seen.where(F.col("author") == key).select(F.when(F.col("kind") == "t", F.concat(F.lit("t:"), "post_id")).otherwise(F.concat(F.lit("r:"), "post_id")).alias("target"), F.when(F.col("kind") == "t", "posts").otherwise("replies").alias("type"))
     to = F.coalesce(F.concat(F.lit("r:"), "parent_post_id"), F.concat(F.lit("t:"), "thread_id"))
     incoming = replies.where(F.col("author") != key).withColumn("target", to).join(mine, "target").select("doc_key", "post_id", "type", "created_at")
-    own = replies.where(F.col("author") == key).select(F.col("post_id").alias("descendant_id"), F.col("created_at").alias("answered_at"))
-    below = descendants(replies, "post_id", "parent_post_id").join(own, "descendant_id").groupBy(F.col("ancestor_id").alias("post_id")).agg(F.max("answered_at").alias("answered_at"))
-    return incoming.join(below, "post_id", "left").select("doc_key", "type", F.coalesce(F.col("answered_at") > F.col("created_at"), F.lit(False)).alias("answered"), "created_at")
+    mine_at = F.when(F.col("author") == key, F.col("created_at"))
+    answers = below(replies, "post_id", "parent_post_id", mine_at, "max").select(F.col("id").alias("post_id"), F.col("below").alias("answered_at"))
+    return incoming.join(answers, "post_id", "left").select("doc_key", "type", F.coalesce(F.col("answered_at") > F.col("created_at"), F.lit(False)).alias("answered"), "created_at")
 
 
 def answer_paths(docs: DataFrame) -> DataFrame:

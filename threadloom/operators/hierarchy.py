@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import cut, skew_join
@@ -84,12 +84,33 @@ def descendants(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -
     return paths.select("id", "depth", F.posexplode("path").alias("at", "ancestor_id")).where("at < depth").select("ancestor_id", F.col("id").alias("descendant_id"), (F.col("depth") - F.col("at")).alias("distance"))
 
 
+def below(nodes: DataFrame, node: str = "id", parent: str = "parent_id", value: Column | None = None, how: str = "sum") -> DataFrame:
+    """id, below: the sum (or ``how="max"``, the maximum) of ``value`` over all nodes under each node that has any, the node itself
+    left out; by default their number. ``value`` is read from ``nodes``; where an id comes more than once its largest value counts.
+
+    Doubling again: what lies less than 2^k steps under a node, and under each node exactly 2^k steps below it, is all that lies
+    less than 2^(k+1) steps below. So log2(depth) rounds of one join and one pre-aggregated sum do it, and no pair of ancestor and
+    descendant is ever formed. Nodes on a loop or under one are left out."""
+    worth = F.lit(1).cast("bigint") if value is None else value
+    own = nodes.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("id")).agg(F.max(worth).alias("v"))
+    placed = cut(hierarchy(nodes, node, parent).where("depth >= 0").select("id", "depth", F.when(F.col("depth") > 0, F.col("parent")).alias("anc")).join(own, "id"))
+    fold = F.sum if how == "sum" else F.max
+    plus = (lambda a, b: F.coalesce(a + b, a, b)) if how == "sum" else F.greatest
+    # whole: the value of the node and of what is known to lie under it; under: without the node itself
+    state, up = placed.select("id", F.col("v").alias("whole"), F.lit(None).cast(placed.schema["v"].dataType).alias("under")), placed.where("anc IS NOT NULL").select("id", "anc")
+    while up.limit(1).count():
+        gained = up.join(state.select("id", "whole"), "id").groupBy(F.col("anc").alias("id")).agg(fold("whole").alias("more"))
+        state = cut(state.join(gained, "id", "left").select("id", plus(F.col("whole"), F.col("more")).alias("whole"), plus(F.col("under"), F.col("more")).alias("under")))
+        over = up.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"))
+        up = cut((skew_join(up, over, ["anc"])).select("id", F.col("anc2").alias("anc")))
+    return state.where("under IS NOT NULL").select("id", F.col("under").alias("below"))
+
+
 def trees(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
     """id, root_id, depth, path (text, ids joined by '/'), n_descendants of every node; loops have an
     empty path and the count -1."""
     all_ = cut(hierarchy(nodes, node, parent, with_path=True))
-    below = all_.where("depth > 0").select(F.explode(F.slice("path", F.lit(1), F.col("depth").cast("int"))).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("below"))
-    return all_.join(below, "id", "left").select(
+    return all_.join(below(nodes, node, parent), "id", "left").select(
         "id", "root_id", "depth", F.coalesce(F.array_join(F.transform("path", lambda x: x.cast("string")), "/"), F.lit("")).alias("path"), F.when(F.col("depth") >= 0, F.coalesce("below", F.lit(0))).otherwise(-1).alias("n_descendants")
     )
 

@@ -9,10 +9,11 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans import cut, hot_of, skew_join
 
 # The weight of a hit in each field, the bonuses and the saturation of term frequency.
 WEIGHTS = {"user": 5.0, "title": 4.0, "body": 1.0}
@@ -97,13 +98,15 @@ def postings(docs: DataFrame, clauses: list[Clause] | None = None, html: bool =
         if clauses is not None:
             placed = F.filter(placed, lambda x: matches(x["term"], clauses))
         of_field.append(_tagged(placed, field))
-    # the tokens of one document are grouped within the document: no shuffle is needed to build its postings
-    flat = docs.select("doc_key", "kind", F.explode(F.flatten(F.array(*of_field))).alias("x")).select("doc_key", "kind", "x.field", "x.term", "x.pos")
+    # for a whole index the documents are spread by key before they are unrolled: their tokens are then grouped where they are, and only the texts are shuffled
+    laid = docs.repartition("doc_key") if clauses is None else docs
+    flat = laid.select("doc_key", "kind", F.explode(F.flatten(F.array(*of_field))).alias("x")).select("doc_key", "kind", "x.field", "x.term", "x.pos")
     return flat.groupBy("field", "term", "doc_key", "kind").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def lexicon(posts: DataFrame) -> DataFrame:
-    """field, term, df, stop."""
+def lexicon(posts: DataFrame, keep_stop_words: bool = True) -> DataFrame:
+    """field, term, df, stop; stop words can be left out."""
+    posts = posts if keep_stop_words else posts.where(~F.col("term").isin(*X.STOP_WORDS))
     return posts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).withColumn("stop", F.col("term").isin(*X.STOP_WORDS))
 
 
@@ -111,14 +114,19 @@ def bm25(weight: Column, n: Column, df: Column, tf: Column) -> Column:
     return weight * F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1)
 
 
-def rank(posts: DataFrame, clauses: list[Clause], n_docs: int, scopes: tuple[str, ...] = SCOPES) -> DataFrame:
-    """doc_key, score of the documents that match every clause.
+def rank(posts: DataFrame, clauses: list[Clause], n_docs: int, scopes: tuple[str, ...] = SCOPES, lex: DataFrame | None = None) -> DataFrame:
+    """doc_key, score of the documents that match every clause. Document counts of terms come from the rows of ``lex`` that the
+    query asks for, or are counted.
 
     A clause scores in a field the sum over its tokens (a prefix the sum over its expansions), with a bonus for a phrase;
     its score is the best over fields, the document's the sum over clauses, rounded to four places."""
     check_prefix(clauses)
     own = posts.where(matches(F.col("term"), clauses))
-    own = own.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("field", "term"))) if "df" not in own.columns else own
+    if "df" not in own.columns:
+        own = cut(own) if lex is None else own
+        few = (lexicon(own) if lex is None else lex.where(matches(F.col("term"), clauses))).select("field", "term", "df")
+        # a query of plain terms has no more rows than words and fields; prefixes may stand for any number of terms
+        own = skew_join(own, few, ["field", "term"], hot=hot_of(few, ["field", "term"], "df")) if any(c.prefix for c in clauses) else own.join(F.broadcast(few), ["field", "term"])
     own = own.where(F.when(F.col("field") == "user", allowed("user", F.col("kind"), scopes)).otherwise(allowed("title", F.col("kind"), scopes)))
     weight = F.create_map(*[x for f, w in WEIGHTS.items() for x in (F.lit(f), F.lit(w))])[F.col("field")]
     own = own.withColumn("s", bm25(weight, F.lit(n_docs), F.col("df"), F.col("tf")))
@@ -135,12 +143,14 @@ def rank(posts: DataFrame, clauses: list[Clause], n_docs: int, scopes: tuple[str
     return per_clause.groupBy("doc_key").agg(F.round(F.sum("s"), 4).alias("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(clauses)).select("doc_key", "score")
 
 
-def search(docs: DataFrame, query: str, scopes: tuple[str, ...] = SCOPES, kind: str | None = None, author: str | None = None, hidden: DataFrame | None = None, posts: DataFrame | None = None) -> DataFrame:
-    """doc_key, kind, thread_id, username, created_at, score of all matches, unordered; ``hidden`` has doc_keys to leave out."""
+def search(docs: DataFrame, query: str, scopes: tuple[str, ...] = SCOPES, kind: str | None = None, author: str | None = None, hidden: DataFrame | None = None, posts: DataFrame | None = None, lex: DataFrame | None = None, n_docs: int | None = None) -> DataFrame:
+    """doc_key, kind, thread_id, username, created_at, score of all matches, unordered; ``hidden`` has doc_keys to leave out.
+
+    With ``posts``, ``lex`` and ``n_docs`` of an index nothing is tokenised or counted; without them the documents are."""
     clauses = parse(query)
     if not clauses:
         return docs.select("doc_key", "kind", "thread_id", "username", "created_at", F.lit(0.0).alias("score")).limit(0)
-    ranked = rank(posts if posts is not None else postings(docs, clauses), clauses, docs.count(), scopes)
+    ranked = rank(posts if posts is not None else postings(docs, clauses), clauses, docs.count() if n_docs is None else n_docs, scopes, lex)
     own = docs.select("doc_key", "kind", "thread_id", "username", "created_at")
     if kind:
         own = own.where(F.col("kind") == kind)

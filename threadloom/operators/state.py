@@ -81,3 +81,32 @@ def last_write_wins(df: DataFrame, key: str, at: str) -> DataFrame:
     """The last row of each key (ties: the largest other columns)."""
     rest = [c for c in df.columns if c not in (key, at)]
     return df.groupBy(key).agg(F.max(F.struct(at, *rest)).alias("x")).select(key, f"x.{at}", *[f"x.{c}" for c in rest])
+
+
+def is_unread() -> Column:
+    return ~F.col("read_fp").eqNullSafe(F.col("current_fp"))
+
+
+def unread_list(state: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_key, thread_id, created_at of every unread document that is there, the newest first."""
+    return state.where(is_unread()).select("doc_key").join(docs.select("doc_key", "thread_id", "created_at"), "doc_key").orderBy(F.desc("created_at"), F.desc("doc_key"))
+
+
+def first_unread(state: DataFrame, docs: DataFrame) -> DataFrame:
+    """thread_id, first_unread, n_unread: the oldest unread document of each thread that has any (ties: the smallest key)."""
+    own = state.where(is_unread()).select("doc_key").join(docs.select("doc_key", "thread_id", "created_at"), "doc_key")
+    return own.groupBy("thread_id").agg(F.min(F.struct("created_at", "doc_key")).alias("x"), F.count(F.lit(1)).alias("n_unread")).select("thread_id", F.col("x.doc_key").alias("first_unread"), "n_unread")
+
+
+def unread_totals(state: DataFrame) -> DataFrame:
+    """n_unread, n_threads with any, n_total over everything."""
+    t = F.when(is_unread(), F.col("thread_id"))
+    return state.agg(F.count_if(is_unread()).alias("n_unread"), F.count_distinct(t).alias("n_threads"), F.count(F.lit(1)).alias("n_total"))
+
+
+def thread_list(kept: DataFrame, rollup: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Saved or muted threads (thread_id, at), the latest first, with title, reply_count, last_post_at, n_unread and ``missing``
+    where the thread itself is not there (any more)."""
+    own = kept.select("thread_id", "at").join(rollup.select("thread_id", "title", "reply_count", "last_post_at", F.lit(True).alias("_there")), "thread_id", "left")
+    unread = own.withColumn("n_unread", F.lit(0).cast("bigint")) if state is None else own.join(unread_summary(state).select("thread_id", "n_unread"), "thread_id", "left")
+    return unread.select("thread_id", "at", "title", "reply_count", "last_post_at", F.coalesce("n_unread", F.lit(0)).alias("n_unread"), F.col("_there").isNull().alias("missing")).orderBy(F.desc("at"), F.desc("thread_id"))

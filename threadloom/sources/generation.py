@@ -1,7 +1,8 @@
 """Immutable index generations on a shared file system: staged, verified, then switched to by one small file.
 
-A generation is a folder with documents, postings and lexicon as Parquet and a manifest of counts and order-free hashes. Reading
-``_ACTIVE`` gives the generation in use; replacing that file is the commit point, so a failure before it leaves the old one in use."""
+A generation is a folder with documents, postings and lexicon as Parquet and a manifest of counts and order-free hashes. The
+highest numbered ``_ACTIVE`` file names the generation in use; the appearance of the next one is the commit point, so a failure at any time leaves
+the old one or the new one in use."""
 
 from __future__ import annotations
 
@@ -10,43 +11,14 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.search import lexicon, postings
+from ..operators import search as S
 from ..schema import check_columns
+from .stores import Record, delete, names_in, path_of, read_text, write_text
 
 FORMAT, VERSION = "threadloom-index", 1
 TABLES = ("documents", "postings", "lexicon")
 
 
-def _path(spark: SparkSession, name: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(name)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _write_text(spark: SparkSession, name: str, text: str) -> None:
-    """Write beside and rename over, so that readers see the old or the new text."""
-    fs, target = _path(spark, name)
-    _, beside = _path(spark, name + ".next")
-    out = fs.create(beside, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    fs.delete(target, False)
-    if not fs.rename(beside, target):
-        raise OSError(f"could not replace {name}")
-
-
-def _read_text(spark: SparkSession, name: str) -> str | None:
-    fs, p = _path(spark, name)
-    if not fs.exists(p):
-        return None
-    jvm = spark.sparkContext._jvm
-    stream = fs.open(p)
-    try:
-        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
 def fingerprint(df: DataFrame) -> dict:
     """Row count and order-free hash of a table."""
     r = df.select(F.xxhash64(*[F.to_json(F.struct(c)) for c in sorted(df.columns)]).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)") % 1_000_000_007).alias("s")).first()
@@ -58,17 +30,16 @@ class Generations:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self.pointer = Record(spark, self.root, "_ACTIVE")
 
     def active(self) -> str | None:
-        text = _read_text(self.spark, f"{self.root}/_ACTIVE")
-        return json.loads(text)["generation"] if text else None
+        return (self.pointer.read() or {}).get("generation")
 
     def list(self) -> list[str]:
-        fs, p = _path(self.spark, self.root)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+        return [n for n in names_in(self.spark, self.root) if not n.startswith(("_", ".")) and path_of(self.spark, self.root)[0].getFileStatus(path_of(self.spark, f"{self.root}/{n}")[1]).isDirectory()]
 
     def manifest(self, name: str) -> dict | None:
-        text = _read_text(self.spark, f"{self.root}/{name}/_manifest.json")
+        text = read_text(self.spark, f"{self.root}/{name}/_manifest.json")
         return json.loads(text) if text else None
 
     def read(self, table: str, name: str | None = None) -> DataFrame:
@@ -78,17 +49,17 @@ class Generations:
         return self.spark.read.parquet(f"{self.root}/{name}/{table}")
 
     def build(self, docs: DataFrame, name: str, watermark: str) -> dict:
-        """Write a generation beside the active one. Postings are partitioned by field and sorted by term, so that a query
-        reads only the row groups of its terms."""
+        """Write a generation beside the active one. Postings are partitioned by field and laid in ranges of term and document, so that a query
+        reads only the row groups of its terms, and the postings of a frequent term are spread over several tasks and files."""
         check_columns(docs)
         base = f"{self.root}/{name}"
         docs.write.mode("overwrite").parquet(f"{base}/documents")
         docs = self.spark.read.parquet(f"{base}/documents")
-        postings(docs).repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_key").write.mode("overwrite").partitionBy("field").parquet(f"{base}/postings")
-        lexicon(self.spark.read.parquet(f"{base}/postings")).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{base}/lexicon")
+        S.postings(docs).repartitionByRange("field", "term", "doc_key").sortWithinPartitions("field", "term", "doc_key").write.mode("overwrite").partitionBy("field").parquet(f"{base}/postings")
+        S.lexicon(self.spark.read.parquet(f"{base}/postings")).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{base}/lexicon")
         found = {t: fingerprint(self.spark.read.parquet(f"{base}/{t}")) for t in TABLES}
         manifest = {"format": FORMAT, "version": VERSION, "watermark": watermark, "tables": found}
-        _write_text(self.spark, f"{base}/_manifest.json", json.dumps(manifest, sort_keys=True))
+        write_text(self.spark, f"{base}/_manifest.json", json.dumps(manifest, sort_keys=True))
         return manifest
 
     def verify(self, name: str) -> dict:
@@ -106,24 +77,58 @@ class Generations:
         new, old = self.verify(name), self.active()
         if old and (self.manifest(old) or {}).get("watermark", "") >= new["watermark"]:
             return False
-        _write_text(self.spark, f"{self.root}/_ACTIVE", json.dumps({"generation": name, "previous": old}))
+        self.pointer.write({"generation": name, "previous": old})
         return True
 
     def rollback(self) -> str | None:
         """Switch back to the generation before the active one."""
-        text = _read_text(self.spark, f"{self.root}/_ACTIVE")
-        previous = json.loads(text)["previous"] if text else None
+        previous = (self.pointer.read() or {}).get("previous")
         if previous:
             self.verify(previous)
-            _write_text(self.spark, f"{self.root}/_ACTIVE", json.dumps({"generation": previous, "previous": None}))
+            self.pointer.write({"generation": previous, "previous": None})
         return previous
 
     def clean(self) -> list[str]:
         """Delete all but the active generation and the one before it."""
-        text = _read_text(self.spark, f"{self.root}/_ACTIVE")
-        keep = set(json.loads(text).values()) if text else set()
+        keep = set((self.pointer.read() or {}).values())
         gone = [g for g in self.list() if g not in keep]
         for g in gone:
-            fs, p = _path(self.spark, f"{self.root}/{g}")
-            fs.delete(p, True)
+            delete(self.spark, f"{self.root}/{g}")
         return gone
+
+    def search(self, query: str, name: str | None = None, **options) -> DataFrame:
+        """Hits over a generation: the number of documents comes from its manifest and those of the query's terms from its lexicon, so
+        nothing is counted, and the same query scores alike whoever asks and whatever they hide."""
+        name = name or self.active()
+        n = self.manifest(name)["tables"]["documents"]["rows"] if name else None
+        return S.search(self.read("documents", name), query, posts=self.read("postings", name), lex=self.read("lexicon", name), n_docs=n, **options)
+
+    def document(self, doc_key: str, name: str | None = None) -> DataFrame:
+        """The document of a key, or no row."""
+        return self.read("documents", name).where(F.col("doc_key") == doc_key)
+
+    def status(self) -> dict:
+        """What is active, what it holds and what else is there."""
+        active = self.active()
+        manifest = (self.manifest(active) or {}) if active else {}
+        return {"active": active, "watermark": manifest.get("watermark"), "rows": {t: x["rows"] for t, x in manifest.get("tables", {}).items()}, "generations": self.list()}
+
+    def publish(self, docs: DataFrame, name: str, watermark: str) -> bool:
+        """Build, verify, switch and clean up in one go; what was active before stays for rollback."""
+        self.build(docs, name, watermark)
+        switched = self.activate(name)
+        self.clean()
+        return switched
+
+    def recover(self) -> str | None:
+        """Go back to the generation before where the active one is damaged; the name of what is active then."""
+        active = self.active()
+        try:
+            if active:
+                self.verify(active)
+            return active
+        except Exception:
+            return self.rollback()
+
+    def clear(self) -> None:
+        delete(self.spark, self.root)

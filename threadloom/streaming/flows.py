@@ -1,50 +1,52 @@
 """Streams that keep a keyed table by merging each micro-batch, in the folder of the stream.
 
-A version of the table is written beside the old one and named by its batch; a repeated batch writes the same version again, so
-the result is exactly once. The state function is the batch operator itself, so stream and batch agree."""
+Tables that are merged key by key lie in buckets, and a batch rewrites only those its keys fall into (``KeyedStore``); a state that is
+judged as a whole, and bounded, is written whole. A version is numbered by its batch, and a repeated batch writes the same version again, so
+the result is exactly once; all but the last two versions are deleted. The state function is the batch operator itself, so stream and batch agree."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import overlay as O
 from ..operators import state as S
+from ..sources.stores import KeyedStore
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    done = [s.getPath() for s in fs.listStatus(p) if s.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(x.getName()[1:]) for x in done)
+Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
 
 
-def run(stream: DataFrame, folder: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
-    """Merge all available micro-batches into the table below ``folder`` and return it."""
+def run(stream: DataFrame, folder: str, merge: Merge, key: str | None = None, buckets: int = 16) -> DataFrame:
+    """Merge all available micro-batches into the table below ``folder`` and return it.
+
+    With ``key`` the table is bucketed, and ``merge`` gets the rows of the buckets that the batch touches; it must give each key's
+    rows from that key's rows alone. ``merge`` gets None at the very first batch only."""
     spark = stream.sparkSession
-    table = f"{folder}/state"
+    store = KeyedStore(spark, f"{folder}/state", key or "_all", buckets if key else 1)
 
     def step(batch: DataFrame, n: int) -> None:
-        own = batch.sparkSession
-        before = [v for v in _versions(own, table) if v < n]
-        prior = own.read.parquet(f"{table}/v{before[-1]}") if before else None
-        merge(prior, batch).write.mode("overwrite").parquet(f"{table}/v{n}")
+        batch = batch.persist()
+
+        def merged(prior: DataFrame | None) -> DataFrame:
+            out = merge(prior if prior is None else prior.drop("_all"), batch)
+            return out if key else out.withColumn("_all", F.lit(0))
+
+        try:
+            KeyedStore(batch.sparkSession, store.root, store.key, store.buckets).change(batch if key else batch.select(F.lit(0).alias("_all")), merged, n)
+        finally:
+            batch.unpersist()
 
     stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    versions = _versions(spark, table)
-    if not versions:
-        return merge(None, spark.createDataFrame([], stream.schema))
-    return spark.read.parquet(f"{table}/v{versions[-1]}")
+    out = store.read()
+    return merge(None, spark.createDataFrame([], stream.schema)) if out is None else out.drop("_all")
 
 
 def delta_merge(stream: DataFrame, folder: str, key: str, at: str) -> DataFrame:
     """The last version of each key of a stream of row versions."""
-    return run(stream, folder, lambda prior, batch: S.last_write_wins(batch if prior is None else prior.unionByName(batch), key, at))
+    return run(stream, folder, lambda prior, batch: S.last_write_wins(batch if prior is None else prior.unionByName(batch), key, at), key)
 
 
 def read_state(stream: DataFrame, folder: str) -> DataFrame:
@@ -57,7 +59,7 @@ def read_state(stream: DataFrame, folder: str) -> DataFrame:
             now = now.select("doc_key", "thread_id", "fp").unionByName(old)
         return S.merge_read_state(prior, now)
 
-    return run(stream, folder, merge)
+    return run(stream, folder, merge, "doc_key")
 
 
 def notifications(stream: DataFrame, folder: str, most: int = 1000) -> DataFrame:
@@ -65,6 +67,18 @@ def notifications(stream: DataFrame, folder: str, most: int = 1000) -> DataFrame
     return run(stream, folder, lambda prior, batch: S.reconcile_notifications(prior, batch.dropDuplicates(["doc_key"]), most))
 
 
+def live_delta(stream: DataFrame, folder: str, at: str = "ingested_at") -> DataFrame:
+    """The documents of a live delta over a stream of document versions (with ``at``): a thread that comes again replaces all its
+    documents, so the versions of a thread in one batch that are older than its latest are dropped too."""
+
+    def merge(prior: DataFrame | None, batch: DataFrame) -> DataFrame:
+        every = batch if prior is None else prior.unionByName(batch)
+        last = every.groupBy("thread_id").agg(F.max(at).alias("_last"))
+        return every.join(last, "thread_id").where(F.col(at) == F.col("_last")).drop("_last").dropDuplicates(["doc_key"]).select(*every.columns)
+
+    return run(stream, folder, merge, "thread_id")
+
+
 def windowed_activity(stream: DataFrame, at: str = "ts", late: str = "48 hours", size: str = "1 day") -> DataFrame:
     """start, n: events a window with a watermark; later events than ``late`` are dropped."""
     return stream.withWatermark(at, late).groupBy(F.window(at, size)).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "n")
