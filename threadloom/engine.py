@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -26,6 +27,9 @@ class Forum:
     thread_labels: DataFrame | None = None
     post_labels: DataFrame | None = None
     postings: DataFrame | None = None
+    lexicon: DataFrame | None = None
+    n_docs: int | None = None
+    taxonomy: DataFrame | None = None
     visibility: Visibility = field(default_factory=Visibility)
 
     @classmethod
@@ -46,17 +50,22 @@ class Forum:
         return views.thread_rollup(self.visible())
 
     def search(self, query: str, limit: int = 25, offset: int = 0, **options) -> DataFrame:
-        """A page of hits. A ``category:id`` term keeps hits of that category's threads; it needs another term beside it."""
-        wanted = [w[9:] for w in query.split() if w.lower().startswith("category:")]
-        rest = " ".join(w for w in query.split() if not w.lower().startswith("category:"))
+        """A page of hits. ``category:id`` and ``category:"a label"`` terms keep hits of that category's threads (of a category
+        that is not known, none); they need another term beside them."""
+        wanted, rest = search.categories_of(query)
         if wanted and not search.parse(rest):
             raise ValueError("a category needs another term beside it")
-        hits = search.search(self.visible(), rest, posts=self.postings, **options)
+        hits = search.search(self.visible(), rest, posts=self.postings, lex=self.lexicon, n_docs=self.n_docs, **options)
         for category in wanted:
-            labels = categories.latest_labels(self.thread_labels, "thread_id").where(F.col("category_id") == category.strip('"').lower())
-            hits = hits.join(labels.select("thread_id"), "thread_id", "left_semi")
+            hits = hits.join(self.threads_of(category), "thread_id", "left_semi")
         return search.page(hits, limit, offset)
 
+    def threads_of(self, category: str) -> DataFrame:
+        """thread_id of the threads labelled with a category, given by id or, where the taxonomy is there, by label."""
+        name = self.docs.sparkSession.createDataFrame([(category.strip('"'),)], "name string")
+        known = name.select(F.lower(F.trim("name")).alias("category_id")) if self.taxonomy is None else categories.resolve_ids(name, self.taxonomy).select(F.lower(F.trim("category_id")).alias("category_id"))
+        return categories.latest_labels(self.thread_labels, "thread_id").join(F.broadcast(known), "category_id", "left_semi").select("thread_id")
+
     def by_author(self, name: str, kind: str) -> DataFrame:
         from .functions.text import identity_key
 
@@ -72,8 +81,7 @@ class Forum:
         return views.backfill(self.rollup(), seed, count, exclude)
 
     def category_threads(self, category: str, limit: int = 25, offset: int = 0) -> DataFrame:
-        labels = categories.latest_labels(self.thread_labels, "thread_id").where(F.col("category_id") == category.lower())
-        own = self.rollup().join(labels.select("thread_id"), "thread_id", "left_semi")
+        own = self.rollup().join(self.threads_of(category), "thread_id", "left_semi")
         return own.orderBy(F.desc("last_post_at"), F.desc("thread_id")).offset(offset).limit(limit)
 
     def members(self) -> DataFrame:
@@ -89,7 +97,10 @@ class Forum:
         return conversation.notifications(self.visible(), me).orderBy(F.desc("created_at"), F.desc("doc_key"))
 
     def navigation_target(self, doc_key: str) -> DataFrame:
-        """The document and its thread's root in one row; empty where either is missing or hidden."""
+        """The document and its thread's root in one row; empty where either is missing or hidden. Of a key that is not of the form
+        ``t:1`` or ``r:1`` a ValueError tells."""
+        if not re.fullmatch(r"[tr]:\d+", doc_key):
+            raise ValueError(f"no document key: {doc_key!r:.40}")
         own = self.visible()
         root = own.where("kind = 't'").select("thread_id", F.col("title").alias("thread_title"), F.col("username").alias("thread_author"))
         return own.where(F.col("doc_key") == doc_key).join(root, "thread_id")
@@ -98,5 +109,17 @@ class Forum:
         now = self.docs.select("doc_key", "thread_id", state.fingerprint("thread_id", "parent_post_id", "username", "title", "body").alias("fp"))
         return state.merge_read_state(prior, now)
 
+    def unread(self, marks: DataFrame) -> DataFrame:
+        """The unread documents that are visible, the newest first."""
+        return state.unread_list(marks, self.visible())
+
+    def saved(self, kept: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+        """Saved threads, the latest first; what is hidden or gone is marked as missing."""
+        return state.thread_list(kept, self.rollup(), marks)
+
+    def page_of(self, rows: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
+        """A page of any list; the limit is held within 1 and 100."""
+        return rows.offset(max(0, offset)).limit(max(1, min(100, limit)))
+
     def category_of_replies(self, posts: DataFrame) -> DataFrame:
         return categories.resolve(posts, self.thread_labels, self.post_labels)

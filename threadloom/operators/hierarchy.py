@@ -42,7 +42,7 @@ def hierarchy(nodes: DataFrame, node: str = "id", parent: str = "parent_id", wit
     left, jump = open_.count(), 1
     while left:
         state = done.unionByName(open_)
-        step = cut(_jump(open_, state, with_path, left))
+        step = cut(_jump(open_, state, with_path, left), afresh=True)
         fresh, open_ = step.where("fin"), step.where("not fin")
         jump *= 2
         now = open_.count()
@@ -67,7 +67,7 @@ def _jump(open_: DataFrame, state: DataFrame, with_path: bool, rows: int) -> Dat
 def _loops(open_: DataFrame, count: int, jump: int) -> DataFrame:
     """id, root_id of nodes that lead into a loop; every pointer stays among them."""
     for _ in range(max(0, math.ceil(math.log2(max(count, 2) / jump)))):
-        open_ = cut(_jump(open_, open_, False, count))
+        open_ = cut(_jump(open_, open_, False, count), afresh=True)
     low = open_.select(F.col("id").alias("anc"), F.col("low").alias("root_id"))
     ends = open_.select("id", "anc")
     return (skew_join(ends, low, ["anc"]) if count >= HOT else ends.join(low, "anc")).select("id", "root_id")
@@ -102,7 +102,7 @@ def below(nodes: DataFrame, node: str = "id", parent: str = "parent_id", value:
         gained = up.join(state.select("id", "whole"), "id").groupBy(F.col("anc").alias("id")).agg(fold("whole").alias("more"))
         state = cut(state.join(gained, "id", "left").select("id", plus(F.col("whole"), F.col("more")).alias("whole"), plus(F.col("under"), F.col("more")).alias("under")))
         over = up.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"))
-        up = cut((skew_join(up, over, ["anc"])).select("id", F.col("anc2").alias("anc")))
+        up = cut(skew_join(up, over, ["anc"]).select("id", F.col("anc2").alias("anc")), afresh=True)
     return state.where("under IS NOT NULL").select("id", F.col("under").alias("below"))
 
 

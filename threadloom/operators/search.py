@@ -52,11 +52,13 @@ def tokenise(text: str) -> tuple[str, ...]:
 
 
 def parse(query: str) -> list[Clause]:
-    """``field:term``, ``"a phrase"``, ``pre*`` and plain terms, all of which must match; over-long queries have no clauses."""
+    """``field:term``, ``"a phrase"``, ``pre*`` and plain terms, all of which must match; over-long queries have no clauses.
+
+    ``email:`` is a field that no index holds, so nothing matches it."""
     if len(query.encode("utf-16-le")) // 2 > 512:
         return []
     out = []
-    for field, phrase, term in re.findall(r'(?:\b(user|title|body):)?(?:"([^"]+)"|(\S+))', query, re.I):
+    for field, phrase, term in re.findall(r'(?:\b(user|title|body|email):)?(?:"([^"]+)"|(\S+))', query, re.I):
         prefix = not phrase and term.endswith("*")
         own = tokenise(phrase or term)
         if own:
@@ -64,6 +66,17 @@ def parse(query: str) -> list[Clause]:
     return out
 
 
+def categories_of(query: str) -> tuple[list[str], str]:
+    """The ids or labels of ``category:id`` and ``category:"a label"`` terms, and the query without them."""
+    own = re.compile(r'(?<!\S)category:(?:"([^"]*)"|(\S+))', re.I)
+    return [a or b for a, b in own.findall(query)], " ".join(own.sub(" ", query).split())
+
+
+def highlight_terms(query: str, most: int = 16) -> list[str]:
+    """What a reader's view marks: the distinct tokens of two characters and more, in the order of the query."""
+    return list(dict.fromkeys(t for c in parse(categories_of(query)[1]) for t in c.tokens if len(t) >= 2))[:most]
+
+
 def check_prefix(clauses: list[Clause]) -> None:
     for c in clauses:
         if c.prefix and any(len(t) < 2 for t in c.tokens):

@@ -19,15 +19,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, afresh: bool = False) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the folder that all executors share.
 
     The folder is the session's ``spark.checkpoint.dir``. Where that is unset a temporary folder is taken, in local mode
-    only: on a cluster a machine-local folder would lose data with its machine, so there the setting is required."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    only: on a cluster a machine-local folder would lose data with its machine, so there the setting is required.
+
+    A checkpoint keeps the size that the planner guessed, the product of the sizes joined. In a loop that joins a table to itself the guess
+    gets twice as many digits a round; ``afresh`` forgets it (and how the rows are partitioned)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    held = df.checkpoint(eager=True)
+    if not afresh:
+        return held
+    try:
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(held._jdf.queryExecution().toRdd(), held._jdf.schema(), False), spark)
+    except Exception:  # another build of Spark: the plan is the same, planning takes longer
+        return held
 
 
 def hot_keys(df: DataFrame, on: list[str], share: float = 0.01, least: int = 10_000) -> DataFrame:

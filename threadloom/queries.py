@@ -91,4 +91,4 @@ def p6_loops(spark, folder):
     return hierarchy.loops(table(spark, folder, "posts"))
 
 
-from . import queries_forum, queries_search  # noqa: E402, F401
+from . import queries_forum, queries_live, queries_search  # noqa: E402, F401
