@@ -5,7 +5,6 @@ import random
 import unicodedata
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from threadloom.llm import bilstm, glyphs, leakage, lookalike, mixing, pii, segments, spans, subjects, toxic
@@ -226,6 +225,35 @@ def test_pii(spark):
     assert pii.found(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_items_with_names_hosts_and_streets_never_trained_on():
+    cases = {
+        "Please email jane.doe@corpmail.com about it.": [("jane.doe@corpmail.com", "email")],
+        "Contact bob_smith99@gmail.com or sales@acme.org": [("bob_smith99@gmail.com", "email"), ("sales@acme.org", "email")],
+        "info@acme.org is the address": [("info@acme.org", "email")],
+        "I met Wei Zhang and Emma Watson in London.": [("Wei Zhang", "name"), ("Emma Watson", "name")],
+        "The director was Peter Jackson.": [("Peter Jackson", "name")],
+        "Ahmed Hassan sent the file.": [("Ahmed Hassan", "name")],
+        "My SSN is 123-45-6789.": [("123-45-6789", "id_number")],
+        "My passport number is 533380006.": [("533380006", "id_number")],
+        "Call me at (415) 555-2671 or +44 20 7946 0958.": [("(415) 555-2671", "phone"), ("+44 20 7946 0958", "phone")],
+        "I live at 221B Baker Street, London.": [("221B Baker Street, London", "address")],
+        "Order 123-4567890-1234567 shipped; version 3.14.159 is out.": [],
+        "Meet me at the Red Lion in York at 18:30.": [],
+    }
+    found = pii.tagger(str(pii.WEIGHTS)).items(list(cases))
+    assert {t: [(t[a:b], k) for a, b, k in x] for t, x in zip(cases, found)} == cases
+
+
+def test_texts_without_items_need_no_decoding():
+    rng = np.random.default_rng(2)
+    model = pii.tagger(str(pii.WEIGHTS)).model
+    ems = [rng.normal(0, 2, (int(rng.integers(1, 40)), len(bilstm.TAGS))).astype(np.float32) + np.float32([rng.integers(0, 9)] + [0] * 10) for _ in range(300)]
+    plain = [i for i, e in enumerate(ems) if model._empty(e)]
+    out: list = [None] * len(ems)
+    model._viterbi(ems, plain, out)
+    assert len(plain) > 20 and not any(out[i].any() for i in plain)
+
+
 # ---- toxic passages --------------------------------------------------------------------------------------------------
 def test_maximal_segments_match_brute_force():
     rng = np.random.default_rng(6)

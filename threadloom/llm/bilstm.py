@@ -36,27 +36,33 @@ def _char_ids() -> dict[int, tuple[int, ...]]:
 
 
 class Encoder:
-    """Turns text into model ids together with the place in the text each id came from."""
+    """Turns text into model ids together with the place in the text each id came from.
+
+    One table over all code points gives the id; a code point that stands for none or several letters is marked in it."""
+
+    NONE, SEVERAL = -1, -2
 
     def __init__(self) -> None:
-        self.ids = _char_ids()
+        own = _char_ids()
+        self.table = np.full(0x110000, OTHER_SIGN, np.int16)
+        letters = [c for c in range(0x80, 0x110000) if chr(c).isalpha()]
+        self.table[letters] = OTHER_LETTER
+        self.table[0x300:0x370] = self.NONE
+        self.several = {c: ids for c, ids in own.items() if len(ids) > 1}
+        for c, ids in own.items():
+            self.table[c] = ids[0] if len(ids) == 1 else self.SEVERAL if ids else self.NONE
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        out: list[int] = []
-        at: list[int] = []
-        get = self.ids.get
-        for i, ch in enumerate(text):
-            code = ord(ch)
-            got = get(code)
-            if got is None:
-                if 0x300 <= code <= 0x36F:
-                    got = ()
-                else:
-                    got = (OTHER_LETTER,) if ch.isalpha() else (OTHER_SIGN,)
-            for g in got:
-                out.append(g)
-                at.append(i)
-        return np.array(out, np.int16), np.array(at, np.int32)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ids, at = self.table[codes], np.arange(len(codes), dtype=np.int32)
+        if (ids < 0).any():
+            many = np.array([len(self.several[c]) for c in codes[ids == self.SEVERAL].tolist()], np.int64)
+            times = (ids >= 0).astype(np.int64)
+            times[ids == self.SEVERAL] = many
+            out = np.repeat(ids, times)
+            out[out == self.SEVERAL] = [i for c in codes[ids == self.SEVERAL].tolist() for i in self.several[c]]
+            ids, at = out, np.repeat(at, times)
+        return ids, at
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -108,21 +114,29 @@ class Model:
         """Tag scores (T, N, K) of windows x (N, T); padding at the end of a window must be PAD."""
         n, t_all = x.shape
         h = self.hidden
-        table = np.einsum("ve,deg->dvg", self.E, self.W) + self.b[:, None, :]
+        # a sigmoid is half a tanh of the half plus a half, so that one call serves all gates
+        scale = np.repeat(np.float32([0.5, 1.0]), [3 * h, h])
+        table = ((np.einsum("ve,deg->dvg", self.E, self.W) + self.b[:, None, :]) * scale).astype(np.float32)
+        u = self.U * scale
         lengths = (x != PAD).sum(1)
-        rev = _reverse(x, lengths)
+        steps = np.stack([x.T, _reverse(x, lengths).T]).astype(np.intp)
         hs = np.empty((2, t_all, n, h), np.float32)
-        hid = np.zeros((2, n, h), np.float32)
-        cell = np.zeros((2, n, h), np.float32)
+        hid, cell = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
+        g, seen = np.empty((2, n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32)
         for t in range(t_all):
-            g = np.matmul(hid, self.U)
-            g[0] += table[0][x[:, t]]
-            g[1] += table[1][rev[:, t]]
-            gates = _sigmoid(g[:, :, : 3 * h])
-            cand = np.tanh(g[:, :, 3 * h :])
-            cell = gates[:, :, h : 2 * h] * cell + gates[:, :, :h] * cand
-            hid = gates[:, :, 2 * h :] * np.tanh(cell)
-            hs[:, t] = hid
+            np.matmul(hid, u, out=g)
+            for d in (0, 1):
+                g[d] += np.take(table[d], steps[d, t], axis=0, out=seen)
+            np.tanh(g, out=g)
+            gates, cand = g[:, :, : 3 * h], g[:, :, 3 * h :]
+            gates *= 0.5
+            gates += 0.5
+            cell *= gates[:, :, h : 2 * h]
+            cand *= gates[:, :, :h]
+            cell += cand
+            hid = hs[:, t]
+            np.tanh(cell, out=hid)
+            hid *= gates[:, :, 2 * h :]
         back = _reverse_time(hs[1], lengths)
         return hs[0] @ self.V[:h] + back @ self.V[h:] + self.c
 
@@ -228,8 +242,8 @@ class Model:
     # ---- decoding ------------------------------------------------------------------------------------------------
     def viterbi(self, ems: list[np.ndarray]) -> list[np.ndarray]:
         """The best tag path of each whole text, from its emissions (T, K); texts of like length are decoded together."""
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(ems)
-        order = sorted((i for i in range(len(ems)) if len(ems[i])), key=lambda i: len(ems[i]))
+        out: list[np.ndarray] = [np.zeros(len(e), np.int8) for e in ems]
+        order = sorted((i for i in range(len(ems)) if len(ems[i]) and not self._empty(ems[i])), key=lambda i: len(ems[i]))
         at = 0
         while at < len(order):
             part = order[at : at + max(1, min(256, 400_000 // len(ems[order[min(at + 255, len(order) - 1)]])))]
@@ -237,6 +251,17 @@ class Model:
             self._viterbi(ems, part, out)
         return out
 
+    def _empty(self, em: np.ndarray) -> bool:
+        """Whether the best path is surely without items: no stretch of other tags, with the best emissions and transitions that it could
+        have, gains anything against staying outside."""
+        a, start, end = self.A, self.start, self.end
+        stay, go_on = float(a[0, 0]), float(a[1:, 1:].max())
+        enter = max(float(a[0, 1:].max()) - stay, float(start[1:].max() - start[0]))
+        leave = max(float(a[1:, 0].max()) - stay, float(end[1:].max() - end[0]))
+        sums = np.concatenate([[0.0], np.cumsum(em[:, 1:].max(1) - em[:, 0] + (go_on - stay), dtype=np.float64)])
+        best = float((sums[1:] - np.minimum.accumulate(sums[:-1])).max())
+        return best - (go_on - stay) + enter + leave < 0
+
     def _viterbi(self, ems: list[np.ndarray], part: list[int], out: list[np.ndarray]) -> None:
         lengths = np.array([len(ems[i]) for i in part])
         t_all, n, k = lengths.max(), len(part), len(TAGS)
