@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import leakage, lookalike, mixing, pii, spans, subjects, toxic
+from . import leakage, lookalike, mixing, oracles, pii, spans, subjects, toxic
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -62,7 +62,7 @@ def p2_rates(spark, folder):
     return toxic.rates(*_forum(spark, folder), table(spark, folder, "content_labels"))
 
 
-@query()
+@query(oracles.LOOKALIKES)
 def p3_found(spark, folder):
     return lookalike.found(table(spark, folder, "posts"))
 
@@ -117,16 +117,16 @@ def p8_shares(spark, folder):
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
-@query()
+@query(oracles.SHARED_PAIRS)
 def p9_found(spark, folder):
     return spans.found(table(spark, folder, "documents"))
 
 
-@query()
+@query(oracles.STRETCHES)
 def p9_stretches(spark, folder):
     return spans.stretches(table(spark, folder, "documents"))
 
 
-@query()
+@query(oracles.COVERAGE)
 def p9_coverage(spark, folder):
     return spans.coverage(table(spark, folder, "documents"))
