@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _local_folder() -> str:
+    """One temporary folder for this process, deleted at its end."""
+    folder = tempfile.mkdtemp(prefix="threadloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or in local mode, where it is unset, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,8 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local[") and master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="threadloom-")
-    return folder
+        folder = _local_folder()
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame, afresh: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import categories, conversation, members, state, views
 from .queries_search import docs_of
-from .plans import shared_folder
+from .plans import bounded_broadcast, shared_folder
 from .registry import query
 from .sources import table
 from .sqltext import DOCS, KEYED, ROLLUP, collapsed, norm
@@ -197,8 +197,8 @@ def orphan_check(spark, folder):
 
 @query("SELECT 'thread_categories' AS table_name, category_id, count(*) AS n FROM thread_categories WHERE category_id NOT IN (SELECT category_id FROM category_taxonomy) GROUP BY ALL UNION ALL SELECT 'post_categories', category_id, count(*) FROM post_categories WHERE category_id NOT IN (SELECT category_id FROM category_taxonomy) GROUP BY ALL")
 def fk_check(spark, folder):
-    known = table(spark, folder, "category_taxonomy").select("category_id")
-    parts = [table(spark, folder, t).join(F.broadcast(known), "category_id", "left_anti").groupBy("category_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), "category_id", "n") for t in ("thread_categories", "post_categories")]
+    known = bounded_broadcast(table(spark, folder, "category_taxonomy").select("category_id").distinct(), 100_000)
+    parts = [table(spark, folder, t).join(known, "category_id", "left_anti").groupBy("category_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), "category_id", "n") for t in ("thread_categories", "post_categories")]
     return parts[0].unionByName(parts[1])
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import overlay, search
+from .plans import shared_folder
 from .registry import query
 from .schema import documents
 from .sources import table
+from .sources.generation import Generations
+from .sources.stores import path_of
 from .sqltext import DOCS, KEYED, collapsed, norm, visible, words
 
 
@@ -16,6 +21,23 @@ def docs_of(spark, folder):
     return documents(table(spark, folder, "threads"), table(spark, folder, "posts"))
 
 
+_INDEXES: dict[tuple, Generations] = {}
+
+
+def index_of(spark, folder) -> Generations:
+    """The index over a folder's forum, built once a session, in the shared folder; built anew where the tables' files have changed."""
+    state = []
+    for name in ("threads", "posts"):
+        fs, p = path_of(spark, f"{folder.rstrip('/')}/{name}.parquet")
+        state += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p))
+    key = (spark.sparkContext.applicationId, *state)
+    if key not in _INDEXES:
+        g = Generations(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+        g.publish(docs_of(spark, folder), "whole", "1")
+        _INDEXES[key] = g
+    return _INDEXES[key]
+
+
 _POSTINGS = f"""forms AS (SELECT doc_key, kind, 'user' AS field, {norm('username')} AS form FROM docs UNION ALL SELECT doc_key, kind, 'title', {norm(visible('title'))} FROM docs UNION ALL SELECT doc_key, kind, 'body', {norm(visible('body'))} FROM docs),
 listed AS (SELECT doc_key, kind, field, {words('form')} AS w FROM forms),
 toks AS (SELECT doc_key, kind, field, unnest(w) AS term, unnest(range(len(w))) AS pos FROM listed),
@@ -56,7 +78,7 @@ def _search_sql(text: str, where: str = "true", scopes=search.SCOPES, top: str =
 
 def _register(name: str, text: str, where: str = "true", scopes=search.SCOPES, **options) -> None:
     def run(spark, folder):
-        return search.search(docs_of(spark, folder), text, scopes, **options)
+        return index_of(spark, folder).search(text, scopes=scopes, **options)
 
     run.__name__ = name
     query(_search_sql(text, where, scopes))(run)
@@ -75,12 +97,12 @@ _register("search_author_exact", "after", f"trim({norm('d.username')}) = 'tealro
 
 @query(_search_sql("deposit", top=" ORDER BY r.score DESC, d.created_at DESC, d.doc_key LIMIT 25 OFFSET 25"))
 def search_page(spark, folder):
-    return search.page(search.search(docs_of(spark, folder), "deposit"), 25, 25)
+    return search.page(index_of(spark, folder).search("deposit"), 25, 25)
 
 
 @query(f"{INDEX}, ranked AS ({_rank_sql('deposit landlord')}) SELECT count(*) AS total, count(*) > 1000 AS truncated FROM ranked")
 def search_total(spark, folder):
-    return search.search(docs_of(spark, folder), "deposit landlord").agg(F.count(F.lit(1)).alias("total")).withColumn("truncated", F.col("total") > 1000)
+    return index_of(spark, folder).search("deposit landlord").agg(F.count(F.lit(1)).alias("total")).withColumn("truncated", F.col("total") > 1000)
 
 
 @query(f"{INDEX} SELECT field, term, doc_key, tf FROM post WHERE starts_with(term, 'es')")
@@ -106,19 +128,19 @@ _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 
 @query(f"{INDEX} SELECT field, term, df, term IN ({_STOP}) AS stop FROM lex")
 def lexicon(spark, folder):
-    return search.lexicon(search.postings(docs_of(spark, folder)))
+    return index_of(spark, folder).read("lexicon")
 
 
 @query(f"{INDEX} SELECT substring(term, 1, 3) AS prefix, field, count(*) AS n_terms, CAST(sum(df) AS BIGINT) AS n_postings FROM lex GROUP BY ALL")
 def term_shards(spark, folder):
-    lex = search.lexicon(search.postings(docs_of(spark, folder)))
+    lex = index_of(spark, folder).read("lexicon")
     return lex.groupBy(F.substring("term", 1, 3).alias("prefix"), "field").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"))
 
 
 @query(f"{INDEX} SELECT (SELECT n FROM size) AS n_docs, (SELECT count(*) FROM docs WHERE kind = 't') AS n_threads, (SELECT count(*) FROM docs WHERE kind = 'r') AS n_replies, (SELECT count(DISTINCT term) FROM lex) AS n_terms, (SELECT max(created_at) FROM docs) AS watermark")
 def index_stats(spark, folder):
     docs = docs_of(spark, folder)
-    terms = search.postings(docs).select("term").distinct().agg(F.count(F.lit(1)).alias("n_terms"))
+    terms = index_of(spark, folder).read("lexicon").select("term").distinct().agg(F.count(F.lit(1)).alias("n_terms"))
     counts = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("kind") == "t").alias("n_threads"), F.count_if(F.col("kind") == "r").alias("n_replies"), F.max("created_at").alias("watermark"))
     return counts.join(F.broadcast(terms)).select("n_docs", "n_threads", "n_replies", "n_terms", "watermark")
 
@@ -199,7 +221,7 @@ def overlay_catalogue(spark, folder):
     SELECT doc_key, kind, thread_id, username, created_at, score FROM both_"""
 )
 def merged_search(spark, folder):
-    hits = search.search(docs_of(spark, folder), "deposit")
+    hits = index_of(spark, folder).search("deposit")
     split = F.to_timestamp_ntz(F.lit("2025-01-01 00:00:00"))
     gone = table(spark, folder, "tombstones").where("kind = 't'").select(F.col("item_id").alias("thread_id")).distinct()
     return overlay.merged(hits.where(F.col("created_at") < split), hits.where(F.col("created_at") >= split), gone).select("doc_key", "kind", "thread_id", "username", "created_at", "score")
