@@ -175,6 +175,9 @@ def test_mixing(spark):
     again = mixing.mix(docs, targets)[0].toPandas()
     assert set(map(tuple, again[["doc_id", "repeats"]].values)) == set(map(tuple, c[["doc_id", "repeats"]].values))
     assert mixing.mix(docs.limit(0), targets)[0].count() == 0
+    spelt = spark.createDataFrame([("big", 0.1, 1), (" BIG", 0.2, 1), ("mid", 0.3, 2), ("mid", 0.3, 2), ("small", 0.3, 5), ("none", 0.1, 9), (None, 0.5, 1)], targets.schema)
+    same = mixing.mix(docs, spelt)[0].toPandas()
+    assert set(map(tuple, same[["doc_id", "repeats"]].values)) == set(map(tuple, c[["doc_id", "repeats"]].values))
     assert mixing.budgets({"a": 10, "b": 100}, [("a", 0.5, 2), ("b", 0.5, 1)], 400) == {"a": 20, "b": 100}
 
 

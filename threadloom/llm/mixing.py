@@ -9,7 +9,8 @@ fits, so no source exceeds its budget and each misses it by less than one docume
 The total is the largest one at which every source that has documents reaches its share within its cap of repeats, unless
 ``total_tokens`` is given; sources that cannot reach their part of a given total give all they have. Sources without
 documents are reported with 0; the other shares are scaled up in proportion. Source names are compared trimmed and in lower
-case. Documents without text or tokens are left out; a repeated doc_id counts once (its smallest text).
+case: target rows that name one source in several ways count as one, with their shares together, the largest cap and the smallest spelling;
+equal target rows count once. Documents without text or tokens are left out; a repeated doc_id counts once (its smallest text).
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from ..plans import bounded_broadcast, cut
 
 #: About so many documents share a bucket of the key range.
 BUCKET_ROWS = 20_000
+#: Up to so many target sources are broadcast.
+MOST_SOURCES = 10_000
 
 
 def default_tokenizer() -> str:
@@ -53,9 +56,15 @@ def token_counts(docs: DataFrame, column: str, tokenizer: str | None = None) ->
     return docs.withColumn("n_tokens", count(F.col(column)))
 
 
+def merged_targets(targets: DataFrame) -> DataFrame:
+    """_name (in the form that is compared), source, target_share, max_repeats: one row for each source."""
+    rows = targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").distinct()
+    return rows.groupBy(F.lower(F.trim("source")).alias("_name")).agg(F.min("source").alias("source"), F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+
+
 def counted(docs: DataFrame, targets: DataFrame, tokenizer: str | None = None, seed: int = 42) -> DataFrame:
     """doc_id, source (as in the targets), n_tokens, key of every document of a target source."""
-    names = bounded_broadcast(targets.groupBy(F.lower(F.trim("source")).alias("_name")).agg(F.min("source").alias("_source")), 10_000)
+    names = bounded_broadcast(merged_targets(targets).select("_name", F.col("source").alias("_source")), MOST_SOURCES)
     one = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).groupBy("doc_id").agg(F.min(F.struct("text", "source")).alias("d"))
     named = one.select("doc_id", "d.text", F.lower(F.trim("d.source")).alias("_name")).join(names, "_name")
     return token_counts(named, "text", tokenizer).where("n_tokens > 0").select("doc_id", F.col("_source").alias("source"), "n_tokens", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1).alias("key"))
@@ -76,11 +85,13 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, to
 
     The report has, of each target source, target_share, budget_tokens, used_tokens, reached_share, n_docs, most_repeats."""
     base = cut(counted(docs, targets, tokenizer, seed))
+    targets = merged_targets(targets).drop("_name")
     per_source = {r.source: (r.tokens, r.n) for r in base.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()}
-    wanted = [(r.source, r.target_share, r.max_repeats) for r in targets.select("source", "target_share", "max_repeats").dropDuplicates(["source"]).collect()]
+    wanted = [(r.source, r.target_share, r.max_repeats) for r in targets.collect()]
     goal = budgets({s: t for s, (t, _) in per_source.items()}, wanted, total_tokens)
     rows = [(s, goal[s] // per_source[s][0], goal[s] % per_source[s][0]) for s in goal]
-    plan = F.broadcast(base.sparkSession.createDataFrame(rows, "source string, epochs bigint, rest bigint"))
+    plan = base.sparkSession.createDataFrame(rows, "source string, epochs bigint, rest bigint")
+    plan = F.broadcast(plan) if len(rows) <= MOST_SOURCES else plan
 
     bits = min(40, max(0, math.ceil(math.log2(max([n for _, n in per_source.values()] or [1]) / BUCKET_ROWS)))) if per_source else 0
     bucket = F.shiftright("key", 63 - bits) if bits else F.lit(0).cast("bigint")
@@ -97,7 +108,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, to
     budget = base.sparkSession.createDataFrame([(s, int(goal.get(s, 0))) for s, _, _ in wanted], "source string, budget_tokens bigint")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
     report = (
-        targets.select("source", "target_share", "max_repeats").dropDuplicates(["source"]).join(budget, "source").join(used, "source", "left").join(F.broadcast(all_used))
+        targets.join(budget, "source").join(used, "source", "left").join(F.broadcast(all_used))
         .select("source", "target_share", "max_repeats", "budget_tokens", zero("used_tokens"), F.round(F.coalesce(F.col("used_tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("reached_share"), zero("n_docs"), zero("most_repeats"))
     )
     return chosen, report
