@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from threadloom.engine import Forum
 from threadloom.functions import text as X
-from threadloom.operators import categories, delta, hierarchy, search, state
+from threadloom.operators import categories, conversation, delta, hierarchy, search, state
 from threadloom.sources import interchange, stores, sync
 from threadloom.streaming import flows
 
@@ -221,6 +221,46 @@ def test_lists_and_filters(spark, docs):
     assert search.search(docs, "email:ann").count() == 0
 
 
+def test_shown_documents_and_bounds(spark, docs):
+    marks = state.merge_read_state(None, docs.selectExpr("doc_key", "thread_id", "body AS fp"))
+    shown = spark.createDataFrame([("r:5", 1, "newer"), ("r:77", 7, "x")], "doc_key string, thread_id bigint, fp string")
+    after = state.present(marks, shown)
+    assert after.count() == 6 and after.where("doc_key = 'r:5' AND read_fp = 'newer' AND source = 'presented'").count() == 1
+    kept = state.merge_read_state(after, docs.where("doc_key <> 'r:5'").selectExpr("doc_key", "thread_id", "body AS fp"))
+    assert {"r:5", "r:77"} <= keys(kept)
+    assert keys(state.bounded(after, docs, 2)) == {"r:9", "t:2"}
+    with pytest.raises(ValueError):
+        state.present(marks, shown, 1)
+
+
+def test_lookups_refuse_rather_than_cut(spark, docs):
+    lex = search.lexicon(search.postings(docs))
+    assert [r.term for r in search.terms(lex, "body", "B").collect()] == ["bread"] and search.term_info(lex, "body", "Rye").first().df == 1
+    with pytest.raises(ValueError):
+        search.terms(lex, "body", "", 2)
+    assert {r.doc_key: r.hidden for r in conversation.flagged(docs, ["bob"]).collect()}["r:6"] == "blocked"
+    forum = Forum(docs)
+    assert forum.navigate("r:5")["thread_title"] == ""
+    with pytest.raises(LookupError):
+        forum.navigate("r:9")
+
+
+def test_links_and_exports(spark, tmp_path):
+    df = spark.createDataFrame([('see <a href="https://a.example/x?a=1&amp;b=2">the <b>page</b></a>, https://b.example/y. <a href="javascript:1">no</a>',), (None,)], "x string")
+    assert [tuple(p) for p in df.select(X.link_parts("x").alias("p")).first().p] == [("the page", "https://a.example/x?a=1&b=2"), ("https://b.example/y", "https://b.example/y")]
+    rows = [{"type": "header", "schemaVersion": 2, "threadCount": 1}, {"type": "thread", "thread": {"threadId": 1, "title": "a"}}, {"type": "termShard", "field": "body", "prefix": "bre", "postings": [{"term": "breads", "docs": ["t:1"]}, {"term": "bread", "docs": ["t:1"]}]}]
+    path = tmp_path / "x.json"
+    path.write_text("\n".join(map(json.dumps, rows)))
+    from threadloom.sources import archive
+
+    found = archive.verify_export(spark, str(path))
+    assert found["threads"] == 1 and archive.verify_export(spark, str(path), **found) == found
+    for wrong in ({"size": 1}, {"sha256": "0"}, {"threads": 2}):
+        with pytest.raises(ValueError):
+            archive.verify_export(spark, str(path), **wrong)
+    assert [r.fault for r in archive.shard_faults(archive.bootstrap(spark, str(path))[2]).collect()] == ["order"]
+
+
 def test_live_delta_stream(spark, tmp_path):
     schema = "doc_key string, thread_id bigint, ingested_at bigint"
     for rows in ([("t:1", 1, 1), ("r:2", 1, 1), ("t:5", 5, 1)], [("t:1", 1, 2), ("r:3", 1, 2)], [("r:2", 1, 1), ("t:6", 6, 3)]):

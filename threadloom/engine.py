@@ -105,6 +105,13 @@ class Forum:
         root = own.where("kind = 't'").select("thread_id", F.col("title").alias("thread_title"), F.col("username").alias("thread_author"))
         return own.where(F.col("doc_key") == doc_key).join(root, "thread_id")
 
+    def navigate(self, doc_key: str) -> dict:
+        """The one row of ``navigation_target``; a LookupError where the document or its root is missing or hidden."""
+        row = self.navigation_target(doc_key).first()
+        if row is None:
+            raise LookupError(f"{doc_key} is not there")
+        return row.asDict()
+
     def read_state(self, prior: DataFrame | None = None) -> DataFrame:
         now = self.docs.select("doc_key", "thread_id", state.fingerprint("thread_id", "parent_post_id", "username", "title", "body").alias("fp"))
         return state.merge_read_state(prior, now)

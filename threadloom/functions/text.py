@@ -145,6 +145,16 @@ def links(c: Column | str) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(x, r"[.,;:!?\])}]+$", ""))
 
 
+def link_parts(c: Column | str) -> Column:
+    """Links of a text as an array of (text, href): anchors with their own text, then bare links; other schemes than http(s) are none."""
+    col = F.col(c) if isinstance(c, str) else c
+    anchor = r"""(?is)<a\s[^>]*?href\s*=\s*["'](https?://[^"'\s>]+)["'][^>]*>(.*?)</a>"""
+    hrefs, texts = (F.regexp_extract_all(col, F.lit(anchor), F.lit(i)) for i in (1, 2))
+    named = F.zip_with(texts, hrefs, lambda t, h: F.struct(plain_text(t).alias("text"), unescaped(h).alias("href")))
+    bare = F.transform(links(F.regexp_replace(col, anchor, " ")), lambda h: F.struct(h.alias("text"), h.alias("href")))
+    return F.concat(named, bare)
+
+
 def valid_release_title(c: Column | str) -> Column:
     """``a.b.c+yyyymmdd`` or ``a.b.c.d+yyyymmdd`` with a real date from 2000 to 2100."""
     col = F.col(c) if isinstance(c, str) else c

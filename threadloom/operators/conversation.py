@@ -40,6 +40,15 @@ def visible(docs: DataFrame, blocked: list[str] | tuple[str, ...], hide_threads_
     return roots.unionByName(kept.select(*roots.columns))
 
 
+def flagged(docs: DataFrame, blocked: list[str] | tuple[str, ...], muted: DataFrame | None = None) -> DataFrame:
+    """All documents with ``hidden``: why a reader does not see them ('blocked': its author or one above it is; 'muted': its thread
+    is), or null. What is hidden is kept, so that it can be shown again."""
+    seen = visible(docs, blocked).select("doc_key", F.lit(True).alias("_seen"))
+    quiet = (muted if muted is not None else docs.limit(0)).select("thread_id").where("thread_id IS NOT NULL").distinct().withColumn("_muted", F.lit(True))
+    both = docs.join(seen, "doc_key", "left").join(quiet, "thread_id", "left")
+    return both.select(*docs.columns, F.when(F.col("_muted"), "muted").when(F.col("_seen").isNull(), "blocked").alias("hidden"))
+
+
 def child_counts(docs: DataFrame) -> DataFrame:
     """post_id, n_children of every reply that has replies."""
     return docs.where("parent_post_id IS NOT NULL").groupBy(F.col("parent_post_id").alias("post_id")).agg(F.count(F.lit(1)).alias("n_children"))

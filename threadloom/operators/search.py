@@ -156,8 +156,9 @@ def rank(posts: DataFrame, clauses: list[Clause], n_docs: int, scopes: tuple[str
     return per_clause.groupBy("doc_key").agg(F.round(F.sum("s"), 4).alias("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") == len(clauses)).select("doc_key", "score")
 
 
-def search(docs: DataFrame, query: str, scopes: tuple[str, ...] = SCOPES, kind: str | None = None, author: str | None = None, hidden: DataFrame | None = None, posts: DataFrame | None = None, lex: DataFrame | None = None, n_docs: int | None = None) -> DataFrame:
-    """doc_key, kind, thread_id, username, created_at, score of all matches, unordered; ``hidden`` has doc_keys to leave out.
+def search(docs: DataFrame, query: str, scopes: tuple[str, ...] = SCOPES, kind: str | None = None, author: str | None = None, hidden: DataFrame | None = None, gone: DataFrame | None = None, posts: DataFrame | None = None, lex: DataFrame | None = None, n_docs: int | None = None) -> DataFrame:
+    """doc_key, kind, thread_id, username, created_at, score of all matches, unordered; ``hidden`` has doc_keys to leave out, ``gone`` thread_ids:
+    what they leave out is in no total.
 
     With ``posts``, ``lex`` and ``n_docs`` of an index nothing is tokenised or counted; without them the documents are."""
     clauses = parse(query)
@@ -170,7 +171,32 @@ def search(docs: DataFrame, query: str, scopes: tuple[str, ...] = SCOPES, kind:
     if author:
         own = own.where(X.identity_key("username") == fold(author).strip())
     out = own.join(ranked, "doc_key")
-    return out.join(hidden.select("doc_key"), "doc_key", "left_anti") if hidden is not None else out
+    out = out.join(hidden.select("doc_key"), "doc_key", "left_anti") if hidden is not None else out
+    return out.join(gone.select("thread_id"), "thread_id", "left_anti").select("doc_key", "kind", "thread_id", "username", "created_at", "score") if gone is not None else out
+
+
+def items(hits: DataFrame, docs: DataFrame, limit: int = 25, offset: int = 0, archived_from: int | None = None) -> DataFrame:
+    """A page of hits with thread_title, reply_count, archived and the total of all hits. The titles and counts of the page's threads alone
+    are looked up. A thread is archived once it has ``archived_from`` replies; of a hit whose root is missing they are null."""
+    top = page(hits, limit, offset)
+    own = F.broadcast(top.select("thread_id").distinct())  # at most as many as a page has rows
+    threads = docs.join(own, "thread_id", "left_semi").groupBy("thread_id").agg(F.min(F.when(F.col("kind") == "t", F.col("title"))).alias("thread_title"), F.count_if(F.col("kind") == "r").alias("reply_count"))
+    out = top.join(F.broadcast(threads), "thread_id", "left").join(F.broadcast(hits.agg(F.count(F.lit(1)).alias("total"))))
+    full = F.col("reply_count") >= archived_from if archived_from is not None else F.lit(False)
+    return out.select("doc_key", "kind", "thread_id", "username", "created_at", "score", "thread_title", "reply_count", full.alias("archived"), "total").orderBy(F.desc("score"), F.desc("created_at"), F.asc("doc_key"))
+
+
+def term_info(lex: DataFrame, field: str, term: str) -> DataFrame:
+    """The lexicon's row of a term in a field, or none."""
+    return lex.where((F.col("field") == field) & (F.col("term") == fold(term)))
+
+
+def terms(lex: DataFrame, field: str, prefix: str, limit: int = 128) -> DataFrame:
+    """The terms of a field with a prefix, in order; more than ``limit`` are an error, for none is left out in silence."""
+    own = lex.where((F.col("field") == field) & F.col("term").startswith(fold(prefix)))
+    if own.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} terms begin with {prefix!r}")
+    return own.orderBy("term")
 
 
 def page(hits: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:

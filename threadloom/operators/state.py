@@ -110,3 +110,19 @@ def thread_list(kept: DataFrame, rollup: DataFrame, state: DataFrame | None = No
     own = kept.select("thread_id", "at").join(rollup.select("thread_id", "title", "reply_count", "last_post_at", F.lit(True).alias("_there")), "thread_id", "left")
     unread = own.withColumn("n_unread", F.lit(0).cast("bigint")) if state is None else own.join(unread_summary(state).select("thread_id", "n_unread"), "thread_id", "left")
     return unread.select("thread_id", "at", "title", "reply_count", "last_post_at", F.coalesce("n_unread", F.lit(0)).alias("n_unread"), F.col("_there").isNull().alias("missing")).orderBy(F.desc("at"), F.desc("thread_id"))
+
+
+def present(state: DataFrame, shown: DataFrame, most: int = 1000) -> DataFrame:
+    """Read marks after documents were shown (doc_key, thread_id, fp; at most ``most``, more are refused): each is read as it is now, and stays
+    in the state even where it is not among the current ones later."""
+    if shown.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} documents cannot be shown at once")
+    now = shown.groupBy("doc_key").agg(F.min("thread_id").alias("thread_id"), F.min("fp").alias("fp"))
+    kept = state.join(now.select("doc_key"), "doc_key", "left_anti").select("doc_key", "thread_id", "current_fp", "read_fp", "source")
+    return kept.unionByName(now.select("doc_key", "thread_id", F.col("fp").alias("current_fp"), F.col("fp").alias("read_fp"), F.lit("presented").alias("source")))
+
+
+def bounded(state: DataFrame, docs: DataFrame, most: int = 5000) -> DataFrame:
+    """Read marks of the ``most`` newest documents; marks of documents that are not there go first. A reader's state, not a corpus."""
+    at = state.join(docs.select("doc_key", "created_at"), "doc_key", "left")
+    return at.orderBy(F.desc_nulls_last("created_at"), F.desc("doc_key")).limit(most).select(*state.columns)

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from .engine import Forum
 from .functions import text as X
-from .operators import categories, delta, overlay, search, state, views
+from .operators import categories, conversation, delta, overlay, search, state, views
 from .operators.members import member_stats
 from .plans import shared_folder
-from .queries_forum import _LABEL, _folder
-from .queries_search import _POSTINGS, INDEX, _rank_sql, docs_of
+from .queries_forum import _LABEL, _VISIBLE, BLOCKED, _folder
+from .queries_search import _POSTINGS, INDEX, _rank_sql, docs_of, index_of
 from .registry import SQL, query
 from .sources import sync, table
 from .sqltext import DOCS, ROLLUP
@@ -157,6 +157,43 @@ def _activity():
     return Window.orderBy(F.desc("last_post_at"), F.desc("thread_id"))
 
 
+@query(
+    f"""{INDEX}, ranked AS ({_rank_sql('deposit')}), hits AS (SELECT d.doc_key, d.kind, d.thread_id, d.username, d.created_at, r.score FROM ranked r JOIN docs d ON d.doc_key = r.doc_key),
+    c AS (SELECT thread_id, min(CASE WHEN kind = 't' THEN title END) AS thread_title, count(*) FILTER (kind = 'r') AS reply_count FROM docs GROUP BY thread_id)
+    SELECT h.*, c.thread_title, c.reply_count, c.reply_count >= 10 AS archived, (SELECT count(*) FROM hits) AS total FROM hits h LEFT JOIN c ON c.thread_id = h.thread_id ORDER BY h.score DESC, h.created_at DESC, h.doc_key LIMIT 25"""
+)
+def search_items(spark, folder):
+    """A page of hits with their threads and the total."""
+    g = index_of(spark, folder)
+    return search.items(g.search("deposit"), g.read("documents"), archived_from=10)
+
+
+@query(
+    f"""{INDEX}, ranked AS ({_rank_sql('deposit')}), hits AS (SELECT d.doc_key, d.thread_id FROM ranked r JOIN docs d ON d.doc_key = r.doc_key)
+    SELECT count(*) AS total, (SELECT count(*) FROM hits) AS of_all FROM hits WHERE thread_id % 4 <> 0 AND doc_key NOT IN (SELECT doc_key FROM docs WHERE created_at >= {_AT})"""
+)
+def search_suppressed(spark, folder):
+    """Totals without replaced documents and every fourth thread."""
+    g = index_of(spark, folder)
+    docs = g.read("documents")
+    late = docs.where(F.col("created_at") >= F.to_timestamp_ntz(F.lit(SPLIT)))
+    kept = g.search("deposit", hidden=late, gone=docs.where("thread_id % 4 = 0").select("thread_id").distinct()).agg(F.count(F.lit(1)).alias("total"))
+    return kept.join(F.broadcast(g.search("deposit").agg(F.count(F.lit(1)).alias("of_all"))))
+
+
+@query(f"{INDEX} SELECT field, term, df FROM lex WHERE field = 'title' AND starts_with(term, 'ch') ORDER BY term")
+def terms_of_prefix(spark, folder):
+    return search.terms(index_of(spark, folder).read("lexicon"), "title", "CH").select("field", "term", "df")
+
+
+@query(
+    f"""WITH RECURSIVE {_VISIBLE} SELECT k.doc_key, CASE WHEN k.thread_id IN (SELECT item_id FROM tombstones WHERE kind = 't') THEN 'muted' WHEN v.doc_key IS NULL THEN 'blocked' END AS hidden
+    FROM keyed k LEFT JOIN vis v ON v.doc_key = k.doc_key"""
+)
+def hidden_reasons(spark, folder):
+    return conversation.flagged(docs_of(spark, folder), BLOCKED, _stones(spark, folder)).select("doc_key", "hidden")
+
+
 # ---- lists of a reader ------------------------------------------------------------------------------------------------
 def _marks(spark, folder):
     """Read marks: everything before the split was read; bodies in capitals since then have changed."""

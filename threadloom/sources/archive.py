@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,14 +150,19 @@ def bootstrap(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
     """header, threads and term shards of a (compressed) newline-delimited JSON export."""
     schema = "type string, schemaVersion int, threadCount bigint, thread struct<threadId bigint, title string, body string, username string, createdUtc string>, field string, prefix string, postings array<struct<term string, docs array<string>>>"
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return rows.where("type = 'header'"), rows.where("type = 'thread'").select("thread.*"), rows.where("type = 'termShard'").select("field", "prefix", F.explode("postings").alias("p")).select("field", "prefix", "p.term", "p.docs")
+    return rows.where("type = 'header'"), rows.where("type = 'thread'").select("thread.*"), rows.where("type = 'termShard'").select("field", "prefix", F.posexplode("postings").alias("nth", "p")).select("field", "prefix", "nth", "p.term", "p.docs")
 
 
 def shard_faults(shards: DataFrame) -> DataFrame:
     """field, prefix, term, fault of every term-shard row that breaks a rule."""
+    if "nth" in shards.columns:  # the place of a term in its shard: terms must ascend
+        shards = shards.withColumn("_before", F.lag("term").over(Window.partitionBy("field", "prefix").orderBy("nth")))
+    else:
+        shards = shards.withColumn("_before", F.lit(None).cast("string"))
     fault = (
         F.when(~F.col("field").isin("user", "title", "body"), "field")
         .when(F.substring("term", 1, 3) != F.col("prefix"), "prefix")
+        .when(F.col("_before") >= F.col("term"), "order")
         .when(F.size("docs") <= 0, "empty")
         .when(F.size(F.array_distinct("docs")) != F.size("docs"), "repeated")
         .when(~F.forall("docs", lambda d: d.rlike(r"^[tr]:\d+$")), "key")
@@ -165,8 +170,26 @@ def shard_faults(shards: DataFrame) -> DataFrame:
     return shards.withColumn("fault", fault).where("fault IS NOT NULL").select("field", "prefix", "term", "fault")
 
 
-def validate(threads: DataFrame, posts: DataFrame, reported_threads: int | None = None) -> dict[str, int]:
-    """Counts of an archive; raises where columns are missing, ids are null or repeated, counts differ or references dangle."""
+def verify_export(spark: SparkSession, path: str, size: int | None = None, sha256: str | None = None, threads: int | None = None) -> dict:
+    """Size, SHA-256 and number of threads of an export file; raises where one differs from what is expected. Nothing is taken over
+    before this pass."""
+    own = spark.read.format("binaryFile").load(path).select("length", F.sha2("content", 256).alias("hash")).first()
+    header, rows, _ = bootstrap(spark, path)
+    first = header.first()
+    found = {"size": own["length"], "sha256": own["hash"], "threads": rows.count()}
+    for name, want in (("size", size), ("sha256", sha256), ("threads", threads if threads is not None else first and first.threadCount)):
+        if want is not None and want != found[name]:
+            raise ValueError(f"{name} is {found[name]}, not {want}")
+    if first is None:
+        raise ValueError("the export has no header")
+    return found
+
+
+def validate(threads: DataFrame, posts: DataFrame, reported_threads: int | None = None, watermark: str | None = None) -> dict[str, int]:
+    """Counts of an archive; raises where columns are missing, ids are null or repeated, counts differ or references dangle. With
+    ``watermark``, a column of the threads, it must not be empty as a whole."""
+    if watermark is not None and threads.agg(F.max(watermark)).first()[0] is None:
+        raise ValueError("the archive has no watermark")
     for df, names in ((threads, ("id", "title", "message")), (posts, ("id", "thread_id", "parent_id", "message"))):
         missing = [n for n in names if n not in df.columns]
         if missing:
