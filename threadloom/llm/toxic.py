@@ -31,7 +31,7 @@ from .lookalike import plain_rewriter
 from .segments import LogOdds, Sample, before, excess, grams, gumbel, joint_surprise, surprise, tokens
 
 KINDS = ("abusive", "hateful", "sexual")
-THRESHOLD = 16.0
+THRESHOLD = 17.0
 #: How surprising a reviewed text's own passage must be, round by round, for its harmful label to be kept.
 ROUNDS, FOLDS = (4.0, 8.0, 11.0), 4
 SCORES = "table_name string, record_id bigint, board string, abusive double, hateful double, sexual double, passage string"
@@ -88,11 +88,13 @@ class Judge:
         return s, max(part, key=lambda x: x[2])[:2] if part else (0, 0)
 
 
-def _counts(sample: list[Sample]) -> list[list[tuple[Counter, int]]]:
+def _counts(sample: list[Sample], least: int = 1) -> list[list[tuple[Counter, int]]]:
     """For each fold: counts of runs and numbers of words, in harmless text and in passages of each kind.
 
-    Of harmless text single words count, and longer runs whose words or context occur in a harmful text: no other is ever looked up."""
-    held = {"", *(g for s in sample if s.label != "none" for g in grams(s.words))}
+    Runs of several words count where they occur ``least`` times in passages. Of harmless text single words count, and longer runs that
+    count in passages, or whose context does: no other is ever looked up."""
+    often = Counter(g for s in sample if s.kept and s.label != "none" for g in grams(s.words, s.begin, s.end))
+    held = {"", *(g for g, n in often.items() if n >= least or " " not in g)}
     out = [[Counter() for _ in range(1 + len(KINDS))] for _ in range(FOLDS)]
     masses = [[0] * (1 + len(KINDS)) for _ in range(FOLDS)]
     for s in sample:
@@ -104,7 +106,7 @@ def _counts(sample: list[Sample]) -> list[list[tuple[Counter, int]]]:
             size[0] += len(s.words)
             continue
         k = 1 + KINDS.index(s.label)
-        mine[k].update(grams(s.words, s.begin, s.end))
+        mine[k].update(g for g in grams(s.words, s.begin, s.end) if g in held)
         size[k] += s.end - s.begin
     return [list(zip(c, m, strict=True)) for c, m in zip(out, masses, strict=True)]
 
@@ -129,7 +131,7 @@ def fit(texts: DataFrame, labels: DataFrame, most_labelled: int = 40_000, rounds
 def fit_sample(sample: list[Sample], corpus: dict[str, int], total: int, rounds: tuple[float, ...] = ROUNDS) -> Judge:
     laws: list[tuple[float, float]] = []
     for least in rounds:
-        folds = _counts(sample)
+        folds = _counts(sample, 2)  # what occurs once tells nothing about a text that was not seen
         models = [_model(folds[:f] + folds[f + 1 :], corpus, total) for f in range(FOLDS)]
         best = [[max(part, key=lambda x: x[2], default=(0, 0, 0.0)) for part in models[s.fold].segments(s.words)] for s in sample]
         harmless = [i for i, s in enumerate(sample) if s.label == "none"]
