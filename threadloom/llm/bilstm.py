@@ -307,19 +307,19 @@ def _reverse_time(hs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def windows(length: int, size: int, margin: int) -> list[tuple[int, int, int, int]]:
-    """Overlapping windows over a text: (begin, end, own begin, own end); the own parts tile the text."""
+    """Overlapping windows over a text: (begin, end, own begin, own end); the own parts tile the text.
+
+    As many as are needed, all about as long, so that a text a little longer than one window isn't read twice."""
     if length <= size:
         return [(0, length, 0, length)]
-    step, out, own = size - 2 * margin, [], 0
-    begin = 0
-    while True:
-        end = min(begin + size, length)
-        if end == length:
-            out.append((max(0, length - size), length, own, length))
-            return out
-        out.append((begin, end, own, end - margin))
-        own = end - margin
-        begin += step
+    n = -((2 * margin - length) // (size - 2 * margin))
+    each = -(-(length + (n - 1) * 2 * margin) // n)
+    out = []
+    for i in range(n):
+        begin = i * (each - 2 * margin)
+        end = length if i == n - 1 else begin + each
+        out.append((begin, end, begin + margin if i else 0, end if i == n - 1 else end - margin))
+    return out
 
 
 def spans(path: np.ndarray) -> list[tuple[int, int, str]]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .bilstm import PAD, TAGS, Encoder, Model, spans, windows
 
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
-WINDOW, MARGIN, BATCH, CHUNK_CHARS = 160, 20, 384, 250_000
+WINDOW, MARGIN, BATCH, CHUNK_CHARS = 240, 20, 384, 250_000
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 #: Digits in words.
 NUMBER_WORDS = re.compile(r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|hundred)\b", re.I)
