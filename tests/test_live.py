@@ -268,3 +268,11 @@ def test_live_delta_stream(spark, tmp_path):
         time.sleep(1.1)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     assert keys(flows.live_delta(stream, str(tmp_path / "own"))) == {"t:1", "r:3", "t:5", "t:6"}
+    last = lambda prior, batch: state.last_write_wins(batch if prior is None else prior.unionByName(batch), "doc_key", "ingested_at")
+    query = flows.keep_running(stream, str(tmp_path / "on"), last, "doc_key", "1 second")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    store = stores.KeyedStore(spark, str(tmp_path / "on/state"), "doc_key")
+    assert {r.doc_key: r.ingested_at for r in store.read().collect()} == {"t:1": 2, "r:2": 1, "r:3": 2, "t:5": 1, "t:6": 3}

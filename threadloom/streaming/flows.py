@@ -19,14 +19,7 @@ from ..sources.stores import KeyedStore
 Merge = Callable[[DataFrame | None, DataFrame], DataFrame]
 
 
-def run(stream: DataFrame, folder: str, merge: Merge, key: str | None = None, buckets: int = 16) -> DataFrame:
-    """Merge all available micro-batches into the table below ``folder`` and return it.
-
-    With ``key`` the table is bucketed, and ``merge`` gets the rows of the buckets that the batch touches; it must give each key's
-    rows from that key's rows alone. ``merge`` gets None at the very first batch only."""
-    spark = stream.sparkSession
-    store = KeyedStore(spark, f"{folder}/state", key or "_all", buckets if key else 1)
-
+def _writer(stream: DataFrame, store: KeyedStore, folder: str, merge: Merge, key: str | None):
     def step(batch: DataFrame, n: int) -> None:
         batch = batch.persist()
 
@@ -39,9 +32,28 @@ def run(stream: DataFrame, folder: str, merge: Merge, key: str | None = None, bu
         finally:
             batch.unpersist()
 
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
+
+
+def _store(stream: DataFrame, folder: str, key: str | None, buckets: int) -> KeyedStore:
+    return KeyedStore(stream.sparkSession, f"{folder}/state", key or "_all", buckets if key else 1)
+
+
+def run(stream: DataFrame, folder: str, merge: Merge, key: str | None = None, buckets: int = 16) -> DataFrame:
+    """Merge all available micro-batches into the table below ``folder`` and return it.
+
+    With ``key`` the table is bucketed, and ``merge`` gets the rows of the buckets that the batch touches; it must give each key's
+    rows from that key's rows alone. ``merge`` gets None at the very first batch only."""
+    store = _store(stream, folder, key, buckets)
+    _writer(stream, store, folder, merge, key).trigger(availableNow=True).start().awaitTermination()
     out = store.read()
-    return merge(None, spark.createDataFrame([], stream.schema)) if out is None else out.drop("_all")
+    return merge(None, stream.sparkSession.createDataFrame([], stream.schema)) if out is None else out.drop("_all")
+
+
+def keep_running(stream: DataFrame, folder: str, merge: Merge, key: str | None = None, every: str = "15 minutes", buckets: int = 16):
+    """The same as a running query, which takes what has come in at most once in ``every``; stop it with ``stop()``, and start it again from
+    where it was. The table is read with ``KeyedStore``."""
+    return _writer(stream, _store(stream, folder, key, buckets), folder, merge, key).trigger(processingTime=every).start()
 
 
 def delta_merge(stream: DataFrame, folder: str, key: str, at: str) -> DataFrame:
