@@ -92,17 +92,25 @@ def below(nodes: DataFrame, node: str = "id", parent: str = "parent_id", value:
     less than 2^(k+1) steps below. So log2(depth) rounds of one join and one pre-aggregated sum do it, and no pair of ancestor and
     descendant is ever formed. Nodes on a loop or under one are left out."""
     worth = F.lit(1).cast("bigint") if value is None else value
-    own = nodes.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("id")).agg(F.max(worth).alias("v"))
-    placed = cut(hierarchy(nodes, node, parent).where("depth >= 0").select("id", "depth", F.when(F.col("depth") > 0, F.col("parent")).alias("anc")).join(own, "id"))
+    held = F.when(F.col(parent) != 0, F.col(parent))
+    own = cut(nodes.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("id")).agg(F.min(held).alias("parent"), F.max(worth).alias("v")))
+    known = own.select(F.col("id").alias("parent"), F.lit(True).alias("has_row"))
+    placed = cut(skew_join(own, known, ["parent"], "left").select("id", F.when(F.col("has_row"), F.col("parent")).alias("anc"), "v"))
     fold = F.sum if how == "sum" else F.max
     plus = (lambda a, b: F.coalesce(a + b, a, b)) if how == "sum" else F.greatest
-    # whole: the value of the node and of what is known to lie under it; under: without the node itself
+    # whole: the value of the node and of what is known to lie under it; under: without the node itself; up: the ancestor 2^k steps above
     state, up = placed.select("id", F.col("v").alias("whole"), F.lit(None).cast(placed.schema["v"].dataType).alias("under")), placed.where("anc IS NOT NULL").select("id", "anc")
-    while up.limit(1).count():
+    left = up.count()
+    while left:
         gained = up.join(state.select("id", "whole"), "id").groupBy(F.col("anc").alias("id")).agg(fold("whole").alias("more"))
         state = cut(state.join(gained, "id", "left").select("id", plus(F.col("whole"), F.col("more")).alias("whole"), plus(F.col("under"), F.col("more")).alias("under")))
         over = up.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"))
-        up = cut(skew_join(up, over, ["anc"]).select("id", F.col("anc2").alias("anc")), afresh=True)
+        up = cut((skew_join(up, over, ["anc"]) if left >= HOT else up.join(over, "anc")).select("id", F.col("anc2").alias("anc")), afresh=True)
+        now = up.count()
+        if now == left:  # a round that ends no chain: all that are left lead into loops, and so do all that they counted for
+            state = state.join(up.select("id"), "id", "left_anti")
+            break
+        left = now
     return state.where("under IS NOT NULL").select("id", F.col("under").alias("below"))
 
 
