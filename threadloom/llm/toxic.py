@@ -168,7 +168,7 @@ def scores(posts: DataFrame, threads: DataFrame, labels: DataFrame, **bounds) ->
     return texts.mapInPandas(run, SCORES)
 
 
-def passages(posts: DataFrame, threads: DataFrame, labels: DataFrame, least: float = 5.0, **bounds) -> DataFrame:
+def passages(posts: DataFrame, threads: DataFrame, labels: DataFrame, least: float = THRESHOLD, **bounds) -> DataFrame:
     """table_name, record_id, harm, nth, passage, surprise: every maximal scoring passage of every text that is surprising in itself.
 
     nth numbers the passages of one kind of a record, in the order of its texts and words; a passage's surprise counts it alone."""
