@@ -2,7 +2,8 @@
 
 Half of the labelled texts are invented, with open vocabularies (``pii_forms``), around sentences of forum texts. The others are forum texts of
 the public test tables, marked by the patterns below, half of them with their names, numbers, streets and letter case replaced at
-random. So the tagger learns shapes and surroundings more than words. Names, hosts and streets of ``tests/llm`` are in neither.
+random. So the tagger learns shapes and surroundings more than words. The names, hosts and
+streets of the test of items never trained on are in neither; other tests share some hosts with the invented texts.
 Only the weights are kept (``pii_weights.npz``); the engine never uses these patterns. Gradients are averaged over worker processes.
 """
 
